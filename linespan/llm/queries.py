@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from linespan.llm import bpe, chat, line_dedup, mixing, sharding, simhash, syncmers
+from linespan.llm import bpe, chat, langid, line_dedup, mixing, sharding, simhash, syncmers
 from linespan.llm.common import load
 
 
@@ -39,6 +39,10 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(load(spark, sf_dir, "conversations"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op4_byte_bpe": op4_byte_bpe,
@@ -47,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_syncmers": op7_syncmers,
     "op8_sharding": op8_sharding,
     "op9_perspectives": op9_perspectives,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.REPORT_SQL}
