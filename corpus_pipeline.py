@@ -1,8 +1,76 @@
-"""placeholder until every stage is there"""
+"""From raw documents to token ids: language ID, line dedup, SimHash near-dedup, mixing, byte-level BPE.
 
-STAGES = []
+``STAGES`` lists the stages in order. Each takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
+again as the next one's docs; all but the last return the columns of documents, and rows they don't reject unchanged but for
+what the stage is there to change.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linespan.llm import bpe, langid, line_dedup, mixing, simhash
+from linespan.llm.common import load, materialise
+
+#: Documents whose mean probability of the predicted language is lower than this are rejected, like those without one.
+#: Any text that is mostly in one language, or half in each of two, is well above it.
+LEAST_SCORE = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language. Null texts and texts without a letter go, and those no learned language fits. Where no
+    document has a lang to learn from, nothing can be judged and only texts that are null or have no letter go."""
+    model = langid.fit(docs)
+    judged = langid.predict(docs, model)
+    if not model.labels:
+        return judged.where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that others hold too (see ``line_dedup.dedup_lines``); n_chars follows the text."""
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    out = line_dedup.dedup_lines(docs)
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-duplicates. Of rows that repeat a doc_id one stays; rows
+    without a doc_id stay, as they can't be told apart."""
+    near = simhash.near_duplicates(docs)
+    first = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, once for each time that the mix reads it: no source is read more than ``mixing.REPEAT_LIMIT`` times
+    and none less than once."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens, ids and decoded_sha256 (of the bytes that the ids decode to) of every row."""
+    out = bpe.encode(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return out.select("doc_id", "source", "lang", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", dedup_near),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", encode_bytes),
+]
+
+#: SQL can't express a trained network, the fingerprints or the merges; tests/llm holds run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
