@@ -54,8 +54,6 @@ class Names:
             if low in self.filenames:
                 return [self.filenames[low]], name
             if "." not in name or (name.startswith(".") and name.count(".") == 1):
-                if low in self.extensions:
-                    return self.extensions[low], ""
                 return [SHEBANG], name
         if low in self.extensions:
             return self.extensions[low], ""
@@ -196,7 +194,7 @@ def with_candidates(spark: SparkSession, files: DataFrame, names: Names, only_ex
     dotless = ~F.contains("_low", F.lit(".")) | (F.startswith("_low", F.lit(".")) & (F.length("_low") - F.length(F.replace("_low", F.lit("."), F.lit(""))) == 1))
     none = F.array().cast("array<string>")
     named = F.coalesce("_c0", "_c1", "_c2", none)
-    whole = F.when(F.col("_special").isNotNull(), F.col("_special")).when(dotless, F.coalesce(F.col("_c0"), F.array(F.lit(SHEBANG)))).otherwise(named)
+    whole = F.when(F.col("_special").isNotNull(), F.col("_special")).when(dotless, F.array(F.lit(SHEBANG))).otherwise(named)
     by = F.when(F.col("_c0").isNotNull(), F.lit("")).when(F.col("_c1").isNotNull(), F.col("_ext")).otherwise(F.col("_one"))
-    decided = by if only_extensions else F.when(F.col("_special").isNotNull() | (dotless & F.col("_c0").isNull()), F.col("filename")).otherwise(by)
+    decided = by if only_extensions else F.when(F.col("_special").isNotNull() | dotless, F.col("filename")).otherwise(by)
     return df.withColumns({"candidates": named if only_extensions else whole, "extension": decided}).drop("_low", "_ext", "_one", "_special", "_c0", "_c1", "_c2")

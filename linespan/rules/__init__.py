@@ -131,8 +131,8 @@ BUILT_IN: tuple[Rule, ...] = (
     Rule("Plain Text", ("text", "txt")),
     Rule("License", filenames=("license", "licence", "copying", "unlicense")),
     Rule("CSV", ("csv",)),
-    Rule("gitignore", (".gitignore",)),
-    Rule("ignore", (".ignore",)),
+    Rule("gitignore", filenames=(".gitignore",)),
+    Rule("ignore", filenames=(".ignore",)),
 )
 UNKNOWN = Rule("Unknown")
 SHEBANG = "#!"
