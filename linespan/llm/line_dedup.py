@@ -235,8 +235,10 @@ class LineIndex:
 
 def _apply(docs: DataFrame, rows: DataFrame, eligible: DataFrame, n_rows: int | Observation) -> DataFrame:
     known = materialise(eligible, "line-counts")
-    lines = n_rows if isinstance(n_rows, int) else int(n_rows.get["lines"])
-    shards = max(1, -(-known.count() // SHARD_KEYS), -(-lines // (SALTS * GROUP_LINES)))
+    keys = known.count()
+    # a plan over nothing observes nothing; without keys no line goes and any number of shards will do
+    lines = n_rows if isinstance(n_rows, int) else int(n_rows.get["lines"]) if keys else 0
+    shards = max(1, -(-keys // SHARD_KEYS), -(-lines // (SALTS * GROUP_LINES)))
     return rewrite(docs, dropped_lines(rows, known, shards))
 
 
