@@ -13,11 +13,14 @@ Bounds are kept in every step (a code's error, a ball's radius), so only the cho
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linespan.llm.common import materialise
@@ -54,7 +57,7 @@ class Index:
         apart = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(-1), 1e-30))
         border = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart[own])
         border[np.arange(len(x)), own] = 0
-        return [np.flatnonzero(b <= reach) for b in border]
+        return [np.flatnonzero(b <= reach).astype(np.int32) for b in border]
 
     def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes (N, M) and the distance of each row from what its code stands for."""
@@ -143,25 +146,25 @@ def _columns(df: DataFrame, dropped: tuple[str, ...] = ()) -> str:
 def _with_cells(df: DataFrame, indexes: dict[int, Index], vector: str, coded: bool = False, reach: float | None = None) -> DataFrame:
     """``df`` with cell, or with a row for each cell to look into (``reach``), or with code and error too (``coded``)."""
     shared = df.sparkSession.sparkContext.broadcast(indexes)
-    schema = _columns(df) + ", cell int" + ", code binary, error double" * coded
+    schema = _columns(df) + (", cells array<int>" if reach is not None else ", cell int") + ", code binary, error double" * coded
 
     def run(parts):
-        for pdf in parts:
-            for dim, own in pdf.groupby(pdf[vector].map(len)) if len(pdf) else ():
-                index, x = shared.value[int(dim)], _matrix(own[vector])
-                if reach is not None:
-                    share = min(1.0, MARGIN / np.sqrt(dim))
-                    found = index.probes(x, share * reach)
-                    own = own.iloc[np.repeat(np.arange(len(own)), [len(f) for f in found])]
-                    yield own.assign(cell=np.concatenate(found).astype(np.int32))
-                    continue
-                own = own.assign(cell=index.cells(x)[0].astype(np.int32))
-                if coded:
-                    codes, error = index.encode(x - index.centroids[own["cell"].to_numpy()])
-                    own = own.assign(code=[c.tobytes() for c in codes], error=error)
-                yield own
-
-    return df.mapInPandas(run, schema)
+        for whole in parts:
+            for k in range(0, len(whole), 1024):
+                pdf = whole.iloc[k : k + 1024]
+                for dim, own in pdf.groupby(pdf[vector].map(len)):
+                    index, x = shared.value[int(dim)], _matrix(own[vector])
+                    if reach is not None:
+                        yield own.assign(cells=index.probes(x, min(1.0, MARGIN / np.sqrt(dim)) * reach))
+                        continue
+                    own = own.assign(cell=index.cells(x)[0].astype(np.int32))
+                    if coded:
+                        codes, error = index.encode(x - index.centroids[own["cell"].to_numpy()])
+                        own = own.assign(code=[c.tobytes() for c in codes], error=error)
+                    yield own
+
+    out = df.mapInPandas(run, schema)
+    return out.select(*df.columns, F.explode("cells").alias("cell")) if reach is not None else out
 
 
 LIST = ["label", "dim", "cell"]
@@ -223,14 +226,29 @@ def _look(index_of, cosine: float):
     return run
 
 
-def unit(embedding: Column) -> tuple[Column, Column]:
-    """The vector at length 1 in doubles, and whether it can be linked at all."""
-    x = embedding.cast("array<double>")
-    sound = F.coalesce((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    top = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    scaled = F.transform(x, lambda v: v / top)  # so that squares neither vanish nor overflow
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v))
-    return F.when(sound & (top > 0), F.transform(scaled, lambda v: v / norm)), sound & F.coalesce(top > 0, F.lit(False))
+def unit(embedding: list | None) -> np.ndarray | None:
+    """The vector at length 1 in doubles; None if it has no direction or a component that is no number."""
+    x = np.asarray([] if embedding is None else embedding, dtype=np.float64)
+    if not len(x) or not np.isfinite(x).all() or not (top := np.abs(x).max()):
+        return None
+    x = x / top + 0.0  # so that squares neither vanish nor overflow, and zeros have one sign
+    return x / np.sqrt(x @ x)
+
+
+def _units(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, vec and mark (equal for equal labels and vectors); vec and mark are null where nothing can link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                labels = b.column("label").to_pylist()
+                vecs = [None if label is None else unit(e) for label, e in zip(labels, b.column("embedding").to_pylist(), strict=True)]
+                marks = [None if v is None else hashlib.sha256(repr(label).encode() + v.tobytes()).hexdigest() for label, v in zip(labels, vecs, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(vecs, pa.list_(pa.float64())), pa.array(marks, pa.string())], names=["vec_id", "label", "vec", "mark"])
+
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    return own.mapInArrow(run, f"vec_id bigint, label {own.schema['label'].dataType.simpleString()}, vec array<double>, mark string")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -241,9 +259,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     Repeated rows are separate vectors, linked with each other; a null vec_id takes part in links but names no
     component. Extra columns are ignored; an empty table gives no rows.
     """
-    vec, sound = unit(F.col("embedding"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.when(sound & F.col("label").isNotNull(), vec).alias("vec"))
-    rows = materialise(rows.withColumn("mark", F.when(F.col("vec").isNotNull(), F.sha2(F.concat(F.to_json(F.struct("label")), F.hex(F.array_join(F.transform("vec", lambda v: v.cast("string")), ",").cast("binary"))), 256))), "vectors")
+    rows = materialise(_units(vectors), "vectors")
     classes = rows.where(F.col("vec").isNotNull()).groupBy("mark").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec")).where(F.col("rep").isNotNull())
     classes = materialise(classes.withColumn("dim", F.size("vec")), "vector-classes")
     indexes = {}
