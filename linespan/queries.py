@@ -207,6 +207,11 @@ def _changes(spark, d):
     return items.join(orders, "seq").withColumn("comment_churn", F.col("lines_changed") - F.col("code_churn"))
 
 
+def _touched(spark, d):
+    """Only which parts an order has; what coupling needs."""
+    return load(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("path"))
+
+
 def _head(spark, d):
     return load(spark, d, "part").where(F.col("p_size") > 10).select(F.col("p_partkey").alias("path"), F.col("p_brand").alias("language"), F.col("p_size").cast("long").alias("complexity"))
 
@@ -233,13 +238,13 @@ _rounded = lambda df, *c: df.withColumns({x: F.round(x, 6) for x in c})  # noqa:
 
 @query(_coupling_sql(30, _PARTS_OF, _PART_HEAD))
 def coupling_pairs(spark, d):
-    return _rounded(history.coupling(_changes(spark, d), _head(spark, d)), "degree")
+    return _rounded(history.coupling(_touched(spark, d), _head(spark, d)), "degree")
 
 
 @query(_coupling_sql(5, _PARTS_OF, _PART_HEAD))
 def coupling_weighted(spark, d):
     """The same with a smaller cap, which leaves commits out here."""
-    return _rounded(history.order_coupling(history.coupling(_changes(spark, d), _head(spark, d), max_files=5), weighted=True), "degree")
+    return _rounded(history.order_coupling(history.coupling(_touched(spark, d), _head(spark, d), max_files=5), weighted=True), "degree")
 
 
 def _users(spark, d):
