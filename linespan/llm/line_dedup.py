@@ -196,6 +196,7 @@ def dropped_lines(rows: DataFrame, eligible: DataFrame, shards: int) -> DataFram
 
 def rewrite(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped; text null or empty is one empty line."""
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
     by_doc = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))
     own = docs.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_doc", "_row")
     lines = split_lines(F.col("text"))
@@ -249,7 +250,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     is in at least ``min_docs`` documents stay only in the largest doc_id. Several such lines in that document all
     stay. Null or empty text is one empty line. Rows that repeat a doc_id count as one document; each loses its own
     lines. A null doc_id takes part in no count and loses nothing. Empty tables give empty results; other columns pass
-    through.
+    through, those named like the results are replaced.
     """
     rows = line_rows(docs.where(F.col("doc_id").isNotNull()), min_chars)
     seen = Observation()

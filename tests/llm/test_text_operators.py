@@ -73,6 +73,8 @@ def dedup_plainly(rows):
 def test_line_dedup(odd, none, docs):
     for df in (odd, docs):
         assert Counter(tuple(r) for r in line_dedup.dedup_report(df).collect()) == dedup_plainly(texts(df))
+    whole = line_dedup.dedup_lines(odd)
+    assert len(set(whole.columns)) == len(whole.columns) and whole.where("kept_text = 'k'").count() == 0
     assert line_dedup.dedup_report(none).count() == 0
     assert [r.n_dropped for r in line_dedup.dedup_report(odd.where("doc_id = 5")).collect()] == [0]
 
