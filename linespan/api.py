@@ -17,6 +17,7 @@ from linespan.sinks import render
 from linespan.sources import files as sources
 from linespan.sources import git
 from linespan.sources.config import Options
+from linespan.sources.ignore import ignored
 
 
 def rules_of(o: Options) -> dict[str, Rule]:
@@ -105,6 +106,7 @@ class GitHistory:
         log = git.commits(spark, repo, depth)
         self.base = git.baseline_commit(log)
         self.log = history.identities(log, git.mailmap(spark, repo), fold).cache()
+        self.ignore = git.ignore_rules(repo)
         raw = self._classified(git.file_changes(log, repo), "content")
         self.changes = self._old(raw).cache()
         head = self._classified(git.tree(spark, repo), "content")
@@ -112,7 +114,7 @@ class GitHistory:
         self.renames = history.rename_map(self.changes)
 
     def _classified(self, df: DataFrame, content: str) -> DataFrame:
-        named = df.withColumns({"filename": F.regexp_extract("path", "([^/]*)$", 1), "location": F.col("path"), "content": F.col(content)})
+        named = df.where(~ignored(F.col("path"), self.ignore)).withColumns({"filename": F.regexp_extract("path", "([^/]*)$", 1), "location": F.col("path"), "content": F.col(content)})
         found = detect.detect(named, self.rules)
         return classify.count_files(found, self.rules, per_line=True)
 
@@ -144,9 +146,13 @@ class GitHistory:
         lines = self._with_authors().select("seq", "path", "author_id", "added", "removed", F.col("new_types").alias("line_types"), F.col("new_complexity").alias("complexity"))
         owned = history.survivors(blame.owned_lines(blame.replay(lines, base, self.renames)), self.head)
         who = self.log.groupBy("author_id").agg(F.first("author").alias("author"), F.first("email").alias("email"), F.max("when").alias("last_commit"))
-        out = history.ownership(owned, blame.BEFORE).join(who, "author_id", "left")
+        out = history.disambiguate(history.ownership(owned, blame.BEFORE).join(who, "author_id", "left"))
         return out.withColumn("author", F.coalesce("author", F.lit("(before window)"))).orderBy(F.col("author_id") == blame.BEFORE, F.desc("code"), "author")
 
+    def report(self, observer: history.Observer) -> DataFrame:
+        """A report of one's own over the same tables."""
+        return observer.report(self.log, self._with_authors(), self.head)
+
     def author_timeline(self, buckets: int = 60) -> DataFrame:
         delta = history.lines_of_type(F.col("added"), F.col("new_types"), 1) - history.lines_of_type(F.col("removed"), F.col("old_types"), 1)
         each = self._with_authors().groupBy("seq", "author", "when").agg(F.sum(delta).alias("delta"))

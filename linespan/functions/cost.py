@@ -89,10 +89,22 @@ def badge(code: Column) -> dict[str, Column]:
     return {"effort": effort, "cost": effort * F.lit(56_286 / 12) * F.lit(1.8), "months": F.lit(2.5) * F.pow(effort, F.lit(0.38))}
 
 
-#: Bytes of a kilobyte by unit, the last six from a joke.
-UNITS = {"si": 1000.0, "binary": 1024.0}
+#: Bytes of a megabyte by unit; those from the joke that don't depend on the year too.
+MEGABYTES = {"si": 1_000_000.0, "binary": 1_048_576.0, "mixed": 1_024_000.0, "xkcd-kelly": 1012.0**2, "xkcd-intel": 1023.937528**2, "xkcd-bakers": 1152.0**2}
 
 
-def megabytes(size: Column, unit: str = "si") -> Column:
-    divisor = {"si": 1_000_000.0, "binary": 1_048_576.0, "mixed": 1_024_000.0}.get(unit.lower(), 1_000_000.0)
-    return size / F.lit(divisor)
+def megabyte(unit: str, year: int = 2000) -> float | None:
+    """Bytes of a megabyte; None for the imaginary one; unknown units are SI."""
+    unit = unit.lower()
+    if unit == "xkcd-imaginary":
+        return None
+    if unit == "xkcd-kb":
+        return 1_000_000.0 if year % 4 == 0 and (year % 100 != 0 or year % 400 == 0) else 1_048_576.0
+    if unit == "xkcd-drive":
+        return float(min(908, 908 - (year - 2013) * 4)) ** 2
+    return MEGABYTES.get(unit, MEGABYTES["si"])
+
+
+def megabytes(size: Column, unit: str = "si", year: int = 2000) -> Column:
+    divisor = megabyte(unit, year)
+    return F.lit(None).cast("double") if divisor is None else size / F.lit(divisor)

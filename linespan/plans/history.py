@@ -6,6 +6,8 @@ complexity). Every report is a plan of joins and aggregates.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ BUS_PERCENT, LISTED, DEPTH = 50.0, 15, 1000
 UNFOLDED = ["", "unknown", "root", "user", "admin", "dev", "developer", "guest", "nobody", "none"]
 
 
+class Observer(Protocol):
+    """A report that others bring along."""
+
+    def report(self, commits: DataFrame, changes: DataFrame, head: DataFrame) -> DataFrame: ...
+
+
 def survivors(rows: DataFrame, head: DataFrame) -> DataFrame:
     return rows.join(head.select("path"), "path", "left_semi")
 
@@ -221,3 +229,18 @@ def fold_tail(rows: DataFrame, name: str, order: list[Column], sums: list[str],
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
     tail = ranked.where(F.col("_rank") > listed).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in sums]).where(F.col("_n") > 0)
     return ranked.where(F.col("_rank") <= listed).select(F.col(name).cast("string").alias(name), *sums).unionByName(tail.select(F.concat(F.lit("others ("), F.col("_n").cast("string"), F.lit(")")).alias(name), *sums))
+
+
+def disambiguate(authors: DataFrame) -> DataFrame:
+    """``authors`` (author, email) with display: names that several have are told apart by the shortest form of their mail
+    that does so for all of them: the last two labels of its domain, the domain, or the whole address."""
+    from linespan.functions.text import email_domain, registrable_domain
+
+    domain = email_domain(F.coalesce("email", F.lit("")))
+    forms = {"_f1": registrable_domain(domain), "_f2": domain, "_f3": F.coalesce("email", F.lit(""))}
+    rows = authors.withColumns(forms)
+    counts = rows.groupBy(F.col("author").alias("_name")).agg(F.count(F.lit(1)).alias("_n"), *[F.count_distinct(F.nullif(f, F.lit(""))).alias(f"_n{f}") for f in forms])
+    rows = rows.join(counts, F.col("author").eqNullSafe(F.col("_name")), "left")
+    mark = F.when(F.col("_n_f1") == F.col("_n"), F.col("_f1")).when(F.col("_n_f2") == F.col("_n"), F.col("_f2")).otherwise(F.col("_f3"))
+    display = F.when(F.col("_n") > 1, F.concat("author", F.lit(" ("), mark, F.lit(")"))).otherwise(F.col("author"))
+    return rows.select(*authors.columns, display.alias("display"))

@@ -14,8 +14,9 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from linespan.functions.cost import COCOMO, LOCOMO, project_type
+from linespan.functions.cost import COCOMO, LOCOMO, megabyte, project_type
 
 Row = dict
 FIGURES = ("files", "lines", "blank", "comment", "code", "complexity", "cognitive", "bytes")
@@ -155,9 +156,9 @@ def _costs(whole: Row, s: Style, rule: str) -> str:
         e = locomo(whole["code"], whole["complexity"], s)
         out += [f"LLM cost estimate ({e['preset']})\n", f"  Tokens in {e['input_tokens']:,.0f}, out {e['output_tokens']:,.0f}\n", f"  Cost {s.currency}{e['cost']:,.2f}, cycles {e['cycles']:.2f}\n", f"  Generation {e['seconds'] / 3600:,.1f} hours, review {e['review_hours']:,.1f} hours\n", rule]
     if s.size:
-        unit = s.size_unit if s.size_unit.lower() in ("si", "binary", "mixed") else "si"
-        divisor = {"si": 1e6, "binary": 1_048_576, "mixed": 1_024_000}[unit.lower()]
-        out += [f"Processed {whole['bytes']} bytes, {whole['bytes'] / divisor:.3f} megabytes ({unit.upper()})\n", rule]
+        divisor = megabyte(s.size_unit, datetime.now(UTC).year)
+        size = "¯\\_(ツ)_/¯" if divisor is None else f"{whole['bytes'] / divisor:.3f}"
+        out += [f"Processed {whole['bytes']} bytes, {size} megabytes ({s.size_unit.upper()})\n", rule]
     return "".join(out)
 
 

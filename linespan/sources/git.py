@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linespan.plans.history import DEPTH
+from linespan.sources.ignore import Ignore, parse
 
 EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
 _HUNK = re.compile(rb"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
@@ -103,6 +104,15 @@ def tree(spark: SparkSession, repo: str, commit: str = "HEAD") -> DataFrame:
     return listed.mapInPandas(run, "path string, content binary").where(F.col("content").isNotNull()).select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), "content")
 
 
+def ignore_rules(repo: str, names: tuple[str, ...] = (".ignore", ".locignore")) -> Ignore:
+    """The rules of ignore files in HEAD, each for its folder, outer folders first."""
+    found = [n for n in git(repo, "ls-tree", "-r", "-z", "--name-only", "HEAD").decode(errors="surrogateescape").split("\0") if n.rsplit("/", 1)[-1] in names]
+    out = Ignore()
+    for path in sorted(found, key=lambda n: (n.count("/"), n)):
+        out = out.extended(path.rpartition("/")[0], parse((_blob(repo, "HEAD", path) or b"").decode(errors="replace")))
+    return out
+
+
 def baseline_commit(log: DataFrame) -> str | None:
     """The commit before the window, None where history begins in it."""
     first = log.orderBy("seq").limit(1).collect()

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -75,6 +78,18 @@ class Ignore:
         return False
 
 
+def ignored(path: Column, rules: Ignore) -> Column:
+    """Whether a path is ignored, itself or with a folder it is in, as one expression."""
+    out = F.lit(False)
+    for base, patterns in rules.layers:
+        rest = F.substring(path, F.lit(len(base) + 2), F.length(path)) if base else path
+        here = F.startswith(path, F.lit(base + "/")) if base else F.lit(True)
+        for p in patterns:
+            below = p.regex.pattern.removesuffix("$") + ("/.*$" if p.folders_only else "(?:/.*)?$")
+            out = F.when(here & rest.rlike(below), F.lit(not p.negated)).otherwise(out)
+    return out
+
+
 def submodules(text: str) -> list[str]:
     """Folders named in a .gitmodules file."""
     return [m.strip() for m in re.findall(r"(?m)^\s*path\s*=\s*(.+?)\s*$", text)]

@@ -119,3 +119,11 @@ def test_fold_tail(spark):
     df = spark.createDataFrame([(i, 100 - i) for i in range(20)], "who int, code bigint")
     got = {r.who: r.code for r in history.fold_tail(df, "who", [F.desc("code")], ["code"]).collect()}
     assert len(got) == 16 and got["others (5)"] == sum(100 - i for i in range(15, 20))
+
+
+def test_display_names(spark):
+    rows = [("A", "a@x.org"), ("A", "a@y.org"), ("B", "b@p.x.org"), ("B", "b@q.x.org"), ("C", "c@x.org"), ("C", "d@x.org"), ("D", None), (None, None)]
+    df = spark.createDataFrame(rows, "author string, email string")
+    got = {(r.author, r.email): r.display for r in history.disambiguate(df).collect()}
+    assert got["A", "a@x.org"] == "A (x.org)" and got["B", "b@p.x.org"] == "B (p.x.org)" and got["C", "d@x.org"] == "C (d@x.org)" and got["D", None] == "D"
+    assert len(got) == len(rows)

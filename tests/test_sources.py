@@ -17,6 +17,17 @@ def test_ignore():
     assert i.ignored("#x") and i.ignored("a/b") and i.ignored("a/q/r/b") and not i.ignored("deep/x.log")
 
 
+def test_ignored_as_a_column(spark):
+    from pyspark.sql import functions as F
+
+    from linespan.sources.ignore import ignored
+
+    rules = Ignore().extended("", parse("*.log\n!keep.log\n/build\nsub/\n")).extended("deep", parse("!x.log\n"))
+    paths = {"a.log": True, "q/a.log": True, "keep.log": False, "build/x/y": True, "q/build": False, "q/sub/z": True, "q/sub": False, "deep/x.log": False, "deep/y.log": True}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.i for r in df.select("p", ignored(F.col("p"), rules).alias("i")).collect()} == paths
+
+
 @pytest.fixture
 def folder(tmp_path):
     make = lambda name, body="x\n": ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(body))
