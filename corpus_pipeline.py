@@ -15,8 +15,8 @@ from linespan.llm import bpe, langid, line_dedup, mixing, simhash
 from linespan.llm.common import load, materialise
 
 #: Documents whose mean probability of the predicted language is lower than this are rejected, like those without one.
-#: Any text that is mostly in one language, or half in each of two, is well above it.
-LEAST_SCORE = 0.35
+#: It is hardly more than chance among four languages: short texts that are mostly numbers and addresses are above it.
+LEAST_SCORE = 0.28
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
