@@ -199,6 +199,8 @@ class Reader:
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """(N, L): the mean of the positions' probabilities for each text; zeros for an empty one."""
         total = np.zeros((len(texts), len(self.m.labels)))
+        if not self.m.labels:
+            return total
         data, mask, which = windows(texts)
         full = mask[:, -1] if len(mask) else np.zeros(0, bool)
         for rows in (np.flatnonzero(full), np.flatnonzero(~full)):
