@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces encoded by one recursive query; tokens decoded by one aggregation; pieces of texts handled at once.
-CHUNK_PIECES, CHUNK_TOKENS, BATCH_PIECES = 20_000, 1_000_000, 500_000
+CHUNK_PIECES, CHUNK_TOKENS, BATCH_PIECES = 20_000, 300_000, 250_000
 #: Pieces with more bytes are contracted by a heap, in the same order: a round for each merge would take quadratic time.
 LONG_BYTES = 256
 #: A Python worker remembers so many pieces at most, in two generations.
 REMEMBERED = 300_000
-MEMORY = "256MB"
+MEMORY = "192MB"
 
 _ENCODE = """
 WITH RECURSIVE words AS (
@@ -61,7 +61,6 @@ class Codec:
 
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.names = {rank: token for token, rank in ranks.items()}
         pairs = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = {(a, b): rank for a, b, rank in pairs}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
@@ -73,8 +72,8 @@ class Codec:
         self.con.register("given", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([t.hex() for t in ranks])}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.con.unregister("given")
-        self.new: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
+        self.new: dict[bytes, bytes] = {}  # the ids as 32-bit numbers
+        self.old: dict[bytes, bytes] = {}
 
     def _by_heap(self, piece: bytes) -> np.ndarray:
         """The same contractions as the query's, leftmost pair of least rank first, for a long piece."""
@@ -116,7 +115,9 @@ class Codec:
         for i, p in enumerate(pieces):
             if (found := self.new.get(p)) is None and (found := self.old.get(p)) is not None:
                 self.new[p] = found
-            if found is None and len(p) <= 1:
+            if found is not None:
+                found = np.frombuffer(found, np.int32)
+            elif len(p) <= 1:
                 found = self.byte[np.frombuffer(p, np.uint8)]
             if found is None and (rank := self.ranks.get(p)) is not None:
                 found = np.array([rank], dtype=np.int32)
@@ -128,7 +129,7 @@ class Codec:
         for k in range(0, len(todo), CHUNK_PIECES):
             part = todo[k : k + CHUNK_PIECES]
             for i, ids in zip(part, self._by_query([pieces[i] for i in part]), strict=True):
-                out[i] = self.new[pieces[i]] = ids
+                out[i], self.new[pieces[i]] = ids, ids.tobytes()
             if len(self.new) > REMEMBERED // 2:
                 self.new, self.old = {}, self.new
         return out
