@@ -29,9 +29,9 @@ from linespan.llm.components import components
 COSINE = 0.93
 #: The sample that centroids and codebooks are fitted on, and how many of them there are at most.
 SAMPLE, CELLS, SUBSPACES, CODES = 8_192, 256, 8, 64
-#: Lists are looked into up to this share of the link distance beyond their border; from 16 dimensions down all that can
-#: hold a link, above that 5 / sqrt(dimensions) of it: a random direction is that close to the border's normal.
-MARGIN = 5.0
+#: Lists are looked into up to this share of the link distance beyond their border; from 12 dimensions down all that can
+#: hold a link, above that 3.5 / sqrt(dimensions) of it: a random direction is that close to the border's normal.
+MARGIN = 3.5
 #: Rows of a list that are put into balls together; queries and balls that meet in one group.
 CHUNK, QUERIES, BALLS = 1_024, 2_048, 16_384
 #: Queries whose distances are looked up at once.
