@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linespan.llm import bpe, langid, line_dedup, mixing, simhash
+from linespan.llm import bpe, langid, line_dedup, mixing, shingles, simhash
 from linespan.llm.common import load, materialise
 
 #: Documents whose mean probability of the predicted language is lower than this are rejected, like those without one.
@@ -37,9 +37,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates. Of rows that repeat a doc_id one stays; rows
+    """The document of the smallest doc_id of each group of near-duplicates: texts whose sets of five-word shingles have a
+    Jaccard index of 0.8 or more, or whose fingerprints differ in at most three bits. Of rows that repeat a doc_id one stays; rows
     without a doc_id stay, as they can't be told apart."""
-    near = simhash.near_duplicates(docs)
+    near = simhash.near_duplicates(docs, shingles.alike(docs))
     first = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

@@ -19,23 +19,28 @@ BITS, SEED, SHINGLE = 64, 42, 3
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
-    """The SimHash of a text as an unsigned number; no words: zero.
-
-    Words are runs of bytes outside [\\x20\\x09-\\x0D] after lower-casing A-Z; shingles of ``words_each`` words count as
-    often as they occur, and fewer words are one shingle. A bit is set if it is in over half of the hashes.
-    """
+def spans(text: str | None, words_each: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of a text with a blank between each two, and where its shingles start and end in that."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    data = b" ".join(words)
+        return b"", [], []
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.r_[0, ends[:-1] + 1]
     n = max(1, len(words) - words_each + 1)
     last = ends[words_each - 1 :] if len(words) >= words_each else ends[-1:]
+    return b" ".join(words), starts[:n].tolist(), last.tolist()
+
+
+def fingerprint(text: str | None, words_each: int = SHINGLE) -> int:
+    """The SimHash of a text as an unsigned number; no words: zero.
+
+    Words are runs of bytes outside [\\x20\\x09-\\x0D] after lower-casing A-Z; shingles of ``words_each`` words count as
+    often as they occur, and fewer words are one shingle. A bit is set if it is in over half of the hashes.
+    """
+    data, starts, last = spans(text, words_each)
+    n = len(starts)
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(BITS, dtype=np.int64)
-    starts, last = starts[:n].tolist(), last.tolist()
     for k in range(0, n, CHUNK):
         h = np.array([digest(data[a:b], SEED) for a, b in zip(starts[k : k + CHUNK], last[k : k + CHUNK], strict=True)], dtype="<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -167,10 +172,10 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.select("block", key.alias("key"), "fp", "rep").groupBy("block", "key").applyInPandas(_join_group, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row of ``docs``.
 
-    Fingerprints that differ in at most three bits are linked; component_id is the smallest doc_id reachable. Null
+    Fingerprints that differ in at most three bits are linked, and so are the doc_ids a and b of ``also``; component_id is the smallest doc_id reachable. Null
     text, like text without a word, has fingerprint zero and is linked like any other. Rows that repeat a doc_id count
     as one document (its texts are linked). A null doc_id is linked with nothing: its component_id is that of the
     others with its fingerprint, or null if there is none. Extra columns are ignored; an empty table gives no rows.
@@ -179,7 +184,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     same = prints.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where((F.col("x") != F.col("y")) & F.col("doc_id").isNotNull()).select("doc_id")
     repeated = prints.join(same, "doc_id").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links(classes).unionByName(repeated))
+    edges = links(classes).unionByName(repeated)
+    if also is not None:
+        also = materialise(also, "also-linked")
+        ends = also.select(F.col("a").alias("doc_id")).unionByName(also.select(F.col("b").alias("doc_id"))).distinct()
+        own = prints.join(ends, "doc_id").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        edges = edges.unionByName(also).unionByName(own)
+    found = components(edges)
     reached = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(reached, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
