@@ -140,6 +140,12 @@ def generated_flag(spark, d):
     return f.where(F.octet_length("content") == F.char_length("content")).select("location", "generated")
 
 
+@query()
+def generated_flag_all(spark, d):
+    """All files: the prefix is of bytes, whatever the text; tests hold it against the bytes."""
+    return files(spark, d).select("location", "generated")
+
+
 @query("SELECT min(source || '/' || CAST(doc_id AS VARCHAR)) AS location, sha256(coalesce(text, '')) AS content_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents GROUP BY 2, 3")
 def dedup_files(spark, d):
     hashed = files(spark, d).select("location", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), "bytes")
