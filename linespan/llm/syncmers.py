@@ -2,9 +2,9 @@
 
 A k-mer is ``K`` words in a row, an inner substring ``S`` of them. A k-mer is an anchor (a closed syncmer) if the least
 hash among its inner substrings is that of the first or the last one. That depends on nothing outside the k-mer, so a
-passage gives the same anchors wherever it stands, and a changed word touches only the k-mers that hold it. The
-fingerprint is the ``SKETCH`` least anchor hashes; the likeness of two is their estimate of the Jaccard index of the
-anchor sets, exact for texts with up to ``SKETCH`` different anchors.
+passage gives the same anchors wherever it stands, and a changed word touches only the k-mers that hold it. Two texts
+are matched by all their anchors, which gives the positions of what they share and the Jaccard index of the anchor sets.
+The ``SKETCH`` least anchor hashes are kept as a fingerprint of bounded size; nothing is compared by it.
 """
 
 from __future__ import annotations
@@ -52,10 +52,19 @@ def to_text(sketched: Column) -> Column:
     return F.array_join(F.transform(sketched, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two sketches: the share of their union's least hashes that both have, 0 to 1."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
+def with_matches(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``df`` with match_<out>, where the anchors ``a`` and ``b`` share a k-mer: array<struct<position, other>>, the first
+    positions of it in each, in order; and near_<out>, the share of the k-mers of both that are shared, 0 to 1."""
+    tagged, firsts = f"_{out}_tagged", f"_{out}_firsts"
+    side = lambda c, n: F.transform(c, lambda x: F.struct(x["kmer"].alias("kmer"), F.lit(n).alias("side"), x["position"].alias("position")))
+    df = df.withColumn(tagged, F.sort_array(F.concat(side(F.col(a), 0), side(F.col(b), 1))))
+    t = F.col(tagged)
+    df = df.withColumn(firsts, F.filter(t, lambda x, i: (i == 0) | (F.get(t, i - 1)["kmer"] != x["kmer"]) | (F.get(t, i - 1)["side"] != x["side"])))
+    f = F.col(firsts)
+    both = F.zip_with(f, F.slice(f, 2, F.size(f)), lambda x, y: F.when(x["kmer"] == y["kmer"], F.struct(x["position"].alias("position"), y["position"].alias("other"))))
+    df = df.withColumn(f"match_{out}", F.sort_array(F.filter(both, lambda x: x.isNotNull())))
+    shared = F.size(f"match_{out}")
+    return df.withColumn(f"near_{out}", shared / (F.size(f) - shared)).drop(tagged, firsts)
 
 
 def _bucket(key: Column, bounds: list[int], first: int = 0) -> Column:
@@ -96,24 +105,18 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last floor(n_chars / 3) code points are replaced by the
     first as many (or all) of the next document's, in descending doc_id.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, a row for each row
-    of ``docs``. Null text is the empty text. Texts without a word have a fingerprint of their own, equal for all such.
-    A single document is its own next one. Other columns are ignored; an empty table gives no rows.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, match_edited and
+    match_next (see ``with_matches``), a row for each row of ``docs``. Null text is the empty text. Texts without a word
+    have a fingerprint of their own, equal for all such. A single document is its own next one. Other columns are ignored;
+    an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = with_anchors(own, "text", "anchors").select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), sketch(F.col("anchors")).alias("sketch"))
-    pairs = with_next(own, ["text", "sketch"])
+    pairs = with_next(own.withColumn("n_chars", F.char_length("text").cast("long")), ["text"])
     take = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - take).cast("int")), F.substring("next_text", F.lit(1), take))
-    pairs = pairs.select("doc_id", "n_chars", "sketch", "next_sketch", edited.alias("edited"))
-    pairs = pairs.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    pairs = with_anchors(pairs, "edited", "anchors").withColumn("edited_sketch", sketch(F.col("anchors"))).drop("anchors", "edited")
-    return pairs.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        to_text(F.col("sketch")).alias("fingerprint"),
-        to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-    )
+    pairs = pairs.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    for text, anchors in (("text", "anchors"), ("next_text", "next_anchors"), ("edited", "edited_anchors")):
+        pairs = with_anchors(pairs, text, anchors).drop(text)
+    pairs = with_matches(with_matches(pairs, "anchors", "edited_anchors", "edited"), "anchors", "next_anchors", "next")
+    prints = [to_text(sketch(F.col(c))).alias(name) for c, name in (("anchors", "fingerprint"), ("edited_anchors", "edited_fingerprint"))]
+    return pairs.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next", "match_edited", "match_next")
