@@ -4,8 +4,11 @@
 how many documents hold it and which is the largest. Keys with enough references go into cuckoo filters, one for each
 shard of the key space. A line is first looked up in its shard's filter, which answers for the many unique lines
 without touching the table; only lines that it lets through meet the exact counts, so a false positive costs time and
-never a line. Filters support deletion: ``LineIndex.delete`` takes a document's references back, and lines that fall
-below the limit return to the documents that had lost them.
+never a line. ``LineIndex.delete`` takes a document's references back, and lines that fall below the limit return to
+the documents that had lost them.
+
+Only the reference table is updated. Filters are built anew from it by every ``apply``: the number of shards follows from
+the keys and the lines of the batch, and with it where a key belongs. ``CuckooFilter.delete`` isn't used by the operator.
 """
 
 from __future__ import annotations
