@@ -15,12 +15,14 @@ from linespan.llm import bpe, langid, line_dedup, mixing, shingles, simhash
 from linespan.llm.common import load, materialise
 
 #: Documents whose mean probability of the predicted language is lower than this are rejected, like those without one.
-#: It is hardly more than chance among four languages: short texts that are mostly numbers and addresses are above it.
+#: It is hardly more than chance among four languages: short texts that are mostly numbers and addresses are above it. Among
+#: up to three the largest probability is always above it. Of the 10 000 documents of sf0.1 it rejects none (least: 0.320).
 LEAST_SCORE = 0.28
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language. Null texts and texts without a letter go, and those no learned language fits. Where no
+    """Documents with a language. Null texts and texts without a letter go. In effect no others do: ``LEAST_SCORE`` only
+    rejects what is nearly uniform over four languages or more, not every text in a language that wasn't learned. Where no
     document has a lang to learn from, nothing can be judged and only texts that are null or have no letter go."""
     model = langid.fit(docs)
     judged = langid.predict(docs, model)
