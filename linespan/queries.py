@@ -271,6 +271,17 @@ def coupling_for(spark, d):
     return _rounded(history.coupling_for(history.coupling(changes, head, max_files=20), target), "degree", "couple", "reverse")
 
 
+@query(f"""WITH c AS ({_coupling_sql(30, _PARTS_OF, _PART_HEAD)}),
+t AS (SELECT min(a) AS u FROM c)
+SELECT CASE WHEN a = u THEN b ELSE a END AS partner, shared, CASE WHEN a = u THEN commits_a ELSE commits_b END AS target_commits, CASE WHEN a = u THEN commits_b ELSE commits_a END AS partner_commits, degree, weighted,
+round(shared / CASE WHEN a = u THEN commits_a ELSE commits_b END * 100, 6) AS couple, round(shared / CASE WHEN a = u THEN commits_b ELSE commits_a END * 100, 6) AS reverse FROM c, t WHERE a = u OR b = u""")
+def coupling_for_parts(spark, d):
+    """Over orders and parts: an order has as many parts in a large table as in a small one, so the cap empties none."""
+    pairs = history.coupling(_touched(spark, d), _head(spark, d))
+    target = pairs.agg(F.min("a")).first()[0]
+    return _rounded(history.coupling_for(pairs, target), "degree", "couple", "reverse")
+
+
 _BUCKET = "CASE WHEN w > 0 THEN greatest(0, least({n} - 1, (epoch_us(ts) - s) // w)) ELSE 0 END"
 _WINDOW = "(SELECT min(epoch_us(ts)) AS s, (max(epoch_us(ts)) - min(epoch_us(ts))) // {n} AS w FROM events)"
 BUCKETS = 60
