@@ -60,6 +60,14 @@ def drop_written(path_of: DataFrame | None = None) -> None:
 atexit.register(drop_written)
 
 
+def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches to Python workers end at so many bytes, not only after 10 000 rows: rows may be long texts. A
+    smaller limit of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

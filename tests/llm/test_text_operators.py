@@ -6,7 +6,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -44,10 +46,67 @@ def test_bpe_round_trip_by_itself(odd):
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in out.collect())
 
 
-def test_bpe_heap_and_query_agree():
-    c = bpe.Codec(bpe.read_ranks(RANKS))
-    words = [b" international", b"aaaaaaaaaa", b"abababab", "漢字かな".encode(), b" zzzqqqxxx", bytes(range(256))]
-    assert [list(a) for a in c._by_query(words)] == [list(c._by_heap(w)) for w in words]
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.read_ranks(RANKS))
+
+
+@pytest.fixture(scope="module")
+def library():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
+def letters(n, length, low, high, seed=1):
+    rng = np.random.default_rng(seed)
+    return ["".join(map(chr, x)) for x in rng.integers(low, high, (n, length)).tolist()]
+
+
+@pytest.mark.parametrize("words", [letters(20_000, 60, 0x4E00, 0x9FA5), letters(20_000, 200, 97, 123), letters(1, 300_000, 97, 123), letters(300, 1000, 0x20, 0x3000)], ids=["characters", "letters", "one word", "mixed"])
+def test_bpe_of_words_without_blanks(codec, library, words):
+    got = [x for some in codec.encode(words, regex.compile(PATTERN)) for x in some]
+    assert [x.tolist() for x in got] == library.encode_ordinary_batch(words, num_threads=4)
+    assert codec.decode(bpe._lists(got)) == [w.encode() for w in words]
+
+
+def test_bpe_of_runs(codec, library):
+    words = ["!" + "=" * n for n in (10, 100, 1000, 50_000)] + ["abc" * n for n in (10, 9000)] + [" " * 20_000, "aaa" + "ab" * 5000, "\n" * 777, "\x00" * 99, "ha" * 9999]
+    got = [x for some in codec.encode(words, regex.compile(PATTERN)) for x in some]
+    assert [x.tolist() for x in got] == library.encode_ordinary_batch(words)
+
+
+def test_bpe_windows_hold_what_the_query_alone_gives(codec):
+    words = [b" international", b"a" * 70, b"ab" * 50, "漢字かな".encode() * 9, b" zzzqqqxxx", bytes(range(256)), b"x", b""]
+    alone = [x.tolist() for x in codec.contract(words, 1000)]
+    for window in (2, 3, 7, 32):
+        assert [x.tolist() for x in codec.contract(words, window)] == alone
+
+
+def test_bpe_bounds_rounds_and_memory(codec, monkeypatch):
+    words = [w.encode() for w in letters(40, 500, 97, 123)]
+    alone = [x.tolist() for x in codec._contract(words)]
+    monkeypatch.setattr(bpe, "CELLS", 3000)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1000)
+    assert [x.tolist() for x in codec._contract(words)] == alone
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    texts = ["a few words here", "and other words there", "a few words here"] * 3
+    assert codec.decode(bpe._lists([x for some in codec.encode(texts, regex.compile(PATTERN)) for x in some])) == [t.encode() for t in texts]
+
+
+def test_bpe_blocks_of_a_long_text():
+    r = regex.compile(PATTERN)
+    text = "it's  we'll\n\n " + " ".join(letters(200, 9, 97, 123)) + "  " * 400 + "x" * 900 + " '" + "12 " * 300 + "  "
+    for size in (1, 2, 70, 71, 100, 333, 5000, 10**6):
+        assert [w for some in bpe.blocks(text, r, size) for w in some] == r.findall(text)
+    assert list(bpe.blocks("", r)) == []
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    wide = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    bpe.small_batches(spark)
+    sizes = [r.n for r in wide.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()]
+    assert sum(sizes) > 400 << 20 and max(sizes) < 40 << 20
 
 
 # --- line dedup
