@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests in local mode) is one made here and set.
+    Only where a local session names none (tests) is one made here and set; on a cluster the setting is required, as a
+    temporary folder would lie on each machine's own disk.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="linespan-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -68,6 +73,28 @@ def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def shielded(*internal: str) -> Callable:
+    """For operators that add columns of these names on their way: columns of the input that are named alike, in any
+    case, have another name meanwhile and come out as they were."""
+    inside = {name.lower() for name in internal}
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            away = {}
+            for c in docs.columns:
+                if c.lower() in inside:
+                    name = f"{c}_own"
+                    while name.lower() in inside | {x.lower() for x in [*docs.columns, *away.values()]}:
+                        name += "_"
+                    away[c] = name
+            return operator(docs.withColumnsRenamed(away), *args, **kwargs).withColumnsRenamed({v: k for k, v in away.items()})
+
+        return run
+
+    return wrap
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

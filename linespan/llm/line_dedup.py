@@ -1,32 +1,36 @@
-"""Incremental, reversible line dedup: exact reference counts behind sharded cuckoo filters.
+"""Incremental, reversible line dedup: sharded cuckoo filters backed by exact reference counts.
 
 ``references`` is the exact table, a row for each (line key, document). ``counts`` rolls it up to a row for each key:
-how many documents hold it and which is the largest. Keys with enough references go into cuckoo filters, one for each
-shard of the key space. A line is first looked up in its shard's filter, which answers for the many unique lines
-without touching the table; only lines that it lets through meet the exact counts, so a false positive costs time and
-never a line. ``LineIndex.delete`` takes a document's references back, and lines that fall below the limit return to
-the documents that had lost them.
-
-Only the reference table is updated. Filters are built anew from it by every ``apply``: the number of shards follows from
-the keys and the lines of the batch, and with it where a key belongs. ``CuckooFilter.delete`` isn't used by the operator.
+how many documents hold it and which is the largest. Keys with enough references are in cuckoo filters, one for each
+shard of the key space. A line is first looked up in its shard's filter, where it is; only lines that the filter lets
+through are shuffled to meet the exact counts, so a false positive costs time and never a line.
+
+``LineIndex`` keeps both between batches. A batch changes the references of its own documents, and its keys whose count
+passes the limit on the way up are inserted into their shard's filter, those on the way down deleted from it. Lines that
+fall below the limit thus return to the documents that had lost them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linespan.llm.common import materialise
+from linespan.llm.common import materialise, shielded, small_batches
 
 #: ASCII white space that is stripped from both ends of a line: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Each shard is probed by so many groups of lines, so that no line key fills a task.
-SALTS = 64
-#: Keys that a shard of the key space holds about, and lines that a group of them is probed by at once.
-SHARD_KEYS, GROUP_LINES = 20_000, 20_000
+#: Keys that a shard of the key space holds about, and lines that meet a copy of its filter in one group.
+SHARD_KEYS, GROUP_LINES = 20_000, 500_000
+#: Filters of so many bytes in all go to where the lines are; of more, lines and filters meet by shard.
+BROADCAST_BYTES = 32 << 20
+#: Shards of an index that is changed by batches, and the keys in a filter's overflow from which on it is built anew.
+INDEX_SHARDS, OVERFLOW = 256, 1_000
 SLOTS = 4
 KICKS = 500
 
@@ -162,88 +166,136 @@ def _shard(k1: Column, shards: int) -> Column:
     return F.pmod(k1, F.lit(shards)).cast("int")
 
 
-def filters(eligible: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter): a cuckoo filter for every shard that holds a key."""
+def filters(eligible: DataFrame, shards: int, room: int = 0) -> DataFrame:
+    """(shard, filter): a cuckoo filter for every shard that holds a key, with room for twice as many and ``room`` keys if
+    there are to be more."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = CuckooFilter(len(pdf))
+        f = CuckooFilter(max(room, 2 * len(pdf)) if room else len(pdf))
         f.insert_all(pdf.k1.to_numpy().view(np.uint64))
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [f.to_bytes()]})
 
     return eligible.select("k1", _shard(F.col("k1"), shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
-def _probe(lines: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Lines of a group that go: let through by the filter, then held against the exact counts."""
-    empty = lines.iloc[:0][["doc_id", "row", "pos"]]
-    if lines.empty or known.empty:
-        return empty
-    blobs, exact = known[known["filter"].notna()], known[known["filter"].isna()]
-    maybe = np.zeros(len(lines), bool)
-    for blob in blobs["filter"]:
-        maybe |= CuckooFilter.from_bytes(blob).contains(lines.k1.to_numpy().view(np.uint64))
-    found = lines[maybe].merge(exact[["k1", "k2", "last_doc"]], on=["k1", "k2"])
-    return found.loc[found.doc_id != found.last_doc, ["doc_id", "row", "pos"]]
-
-
-def dropped_lines(rows: DataFrame, eligible: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, row, pos) of the lines that go. Each shard's lines are dealt over ``SALTS`` groups by their document, with
-    a copy of the shard's filter and counts for each, so a line that a third of all documents hold fills no task."""
-    blobs = filters(eligible, shards).select("shard", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), F.lit(None).cast("long").alias("last_doc"), "filter")
-    exact = eligible.select(_shard(F.col("k1"), shards).alias("shard"), "k1", "k2", "last_doc", F.lit(None).cast("binary").alias("filter"))
-    known = blobs.unionByName(exact).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumns({"shard": _shard(F.col("k1"), shards), "salt": F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")})
-    probe = lambda key, left, right: _probe(left, right)
-    return dealt.groupBy("shard", "salt").cogroup(known.groupBy("shard", "salt")).applyInPandas(probe, "doc_id long, row long, pos int")
-
-
+def changed(kept: DataFrame, changes: DataFrame) -> DataFrame:
+    """``kept`` (shard, filter) after ``changes`` (shard, k1, up): keys inserted, or deleted where up is false. A filter
+    that isn't there yet starts with room for ``SHARD_KEYS``."""
+
+    def change(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        f = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(SHARD_KEYS)
+        for k1, up in zip(new.k1.to_numpy().view(np.uint64).tolist(), new.up, strict=True):
+            if up:
+                f.insert(k1)
+            elif not f.delete(k1):
+                raise ValueError("a key was to be deleted that the filter doesn't hold")
+        return pd.DataFrame({"shard": [int(key[0])], "filter": [f.to_bytes()], "overflow": [len(f.overflow)]})
+
+    return kept.select("shard", "filter").groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(change, "shard int, filter binary, overflow long")
+
+
+def probed(rows: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
+    """The ``rows`` that their shard's filter lets through."""
+    dealt = rows.withColumn("shard", _shard(F.col("k1"), shards))
+    schema = "doc_id long, row long, pos int, k1 long, k2 long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    if (kept.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= BROADCAST_BYTES:
+        small_batches(rows.sparkSession)
+        shared = rows.sparkSession.sparkContext.broadcast({r.shard: bytes(r["filter"]) for r in kept.select("shard", "filter").collect()})
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {shard: CuckooFilter.from_bytes(data) for shard, data in shared.value.items()}
+            for b in batches:
+                k1, at = b.column("k1").to_numpy().view(np.uint64), b.column("shard").to_numpy()
+                order = np.argsort(at, kind="stable")
+                maybe = np.zeros(len(k1), bool)
+                bounds = np.r_[0, np.flatnonzero(np.diff(at[order])) + 1, len(at)] if len(at) else np.zeros(1, int)
+                for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                    if (f := held.get(int(at[order[low]]))) is not None:
+                        maybe[order[low:high]] = f.contains(k1[order[low:high]])
+                yield b.select(names).filter(pa.array(maybe))
+
+        return dealt.mapInArrow(look, schema)
+
+    def probe(key: tuple, lines: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
+        if lines.empty or blobs.empty:
+            return lines.iloc[:0][names]
+        return lines.loc[CuckooFilter.from_bytes(blobs["filter"].iloc[0]).contains(lines.k1.to_numpy().view(np.uint64)), names]
+
+    # each shard's lines are dealt over groups of a bounded size, so a line that a third of all documents hold fills none
+    dealt = materialise(dealt, "line-keys")
+    groups = materialise(dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / GROUP_LINES).cast("int").alias("groups")), "line-groups")
+    blobs = kept.select("shard", "filter").join(groups, "shard").select("shard", "filter", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
+    groups = groups.withColumnRenamed("groups", "of")
+    dealt = dealt.join(groups, "shard").select(*names, "shard", F.pmod(F.xxhash64("doc_id", "row", "pos"), F.col("of")).cast("int").alias("salt"))
+    return dealt.groupBy("shard", "salt").cogroup(blobs.groupBy("shard", "salt")).applyInPandas(probe, schema)
+
+
+def dropped_lines(rows: DataFrame, eligible: DataFrame, kept: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, row, pos) of the lines that go: let through by the filters, then held against the exact counts. Lines of a
+    key that many documents hold are split by adaptive execution, the counts being a row for each key."""
+    found = probed(rows, kept, shards).join(eligible.select("k1", "k2", "last_doc"), ["k1", "k2"])
+    return found.where(F.col("doc_id") != F.col("last_doc")).select("doc_id", "row", "pos")
+
+
+@shielded("_doc", "_row", "_gone")
 def rewrite(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped; text null or empty is one empty line."""
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     by_doc = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))
     own = docs.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_doc", "_row")
     lines = split_lines(F.col("text"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
-        F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("_gone"), i), x)), lambda x: x.isNotNull()), "\n")
-    )
+    # the lines between those that go, so that a text is gone through once however many these are
+    gone = F.array_sort("_gone")
+    ends = F.concat(gone, F.array(F.size(lines)))
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), gone), ends, lambda a, b: F.slice(lines, a + 2, F.greatest(b - a - 1, F.lit(0))))
+    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.flatten(runs), "\n"))
     return own.select("*", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text")).drop("_gone")
 
 
 class LineIndex:
-    """The state between batches: an exact reference table, from which counts and filters follow.
+    """The state between batches: the exact reference table and the filters of the keys that are over the limit.
 
-    ``insert`` and ``delete`` return a new state; deleting what was inserted gives the former decisions back.
+    ``insert`` and ``delete`` return a new state; deleting what was inserted gives the former decisions back. Both write
+    the references of the documents that stay once more; filters change by the keys that pass the limit.
     """
 
-    def __init__(self, refs: DataFrame | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS):
-        self.refs, self.min_docs, self.min_chars = refs, min_docs, min_chars
+    def __init__(self, refs: DataFrame | None = None, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, kept: DataFrame | None = None, shards: int = INDEX_SHARDS):
+        self.refs, self.min_docs, self.min_chars, self.shards = refs, min_docs, min_chars, shards
+        self.kept = kept if kept is not None or refs is None else materialise(filters(self.eligible(), shards, SHARD_KEYS), "line-filters")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """References of ``docs`` are added; a document that is there already is counted once."""
-        new = references(line_rows(docs, self.min_chars))
-        both = new if self.refs is None else self.refs.unionByName(new).groupBy("k1", "k2", "doc_id").agg(F.max("lines").alias("lines"))
-        return LineIndex(materialise(both, "line-refs"), self.min_docs, self.min_chars)
+        """References of ``docs`` are added; those of a document that is there already take the place of its old ones."""
+        docs = docs.where(F.col("doc_id").isNotNull())
+        new = materialise(references(line_rows(docs, self.min_chars)), "line-batch")
+        return self._changed(new, docs.select("doc_id").distinct())
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """References of these documents are taken back; unknown ids change nothing."""
-        left = self.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id", "lines")
-        return LineIndex(materialise(left, "line-refs"), self.min_docs, self.min_chars)
+        return self._changed(None, doc_ids.select("doc_id").distinct())
+
+    def _changed(self, new: DataFrame | None, ids: DataFrame) -> LineIndex:
+        if self.refs is None:
+            return self if new is None else LineIndex(new, self.min_docs, self.min_chars, shards=self.shards)
+        gone = self.refs.join(ids, "doc_id", "left_semi").select(*self.refs.columns)
+        left = self.refs.join(ids, "doc_id", "left_anti").select(*self.refs.columns)
+        refs = materialise(left if new is None else left.unionByName(new), "line-refs")
+        touched = gone.select("k1", "k2").unionByName((new if new is not None else gone).select("k1", "k2")).distinct()
+        over = lambda df: counts(df.join(touched, ["k1", "k2"], "left_semi")).where(F.col("refs") >= self.min_docs).select("k1", "k2")
+        was, now = over(self.refs), over(refs)
+        up = now.join(was, ["k1", "k2"], "left_anti").withColumn("up", F.lit(True))
+        down = was.join(now, ["k1", "k2"], "left_anti").withColumn("up", F.lit(False))
+        changes = up.unionByName(down).withColumn("shard", _shard(F.col("k1"), self.shards))
+        kept = materialise(changed(self.kept, changes.select("shard", "k1", "up")), "line-filters")
+        full = (kept.agg(F.max("overflow")).first()[0] or 0) > OVERFLOW
+        return LineIndex(refs, self.min_docs, self.min_chars, None if full else kept.select("shard", "filter"), self.shards)
 
     def eligible(self) -> DataFrame:
         return counts(self.refs).where(F.col("refs") >= self.min_docs)
 
     def apply(self, docs: DataFrame) -> DataFrame:
         rows = line_rows(docs.where(F.col("doc_id").isNotNull()), self.min_chars)
-        return _apply(docs, rows, self.eligible(), rows.count())
-
-
-def _apply(docs: DataFrame, rows: DataFrame, eligible: DataFrame, n_rows: int | Observation) -> DataFrame:
-    known = materialise(eligible, "line-counts")
-    keys = known.count()
-    # a plan over nothing observes nothing; without keys no line goes and any number of shards will do
-    lines = n_rows if isinstance(n_rows, int) else int(n_rows.get["lines"]) if keys else 0
-    shards = max(1, -(-keys // SHARD_KEYS), -(-lines // (SALTS * GROUP_LINES)))
-    return rewrite(docs, dropped_lines(rows, known, shards))
+        return rewrite(docs, dropped_lines(rows, self.eligible(), self.kept, self.shards))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -256,9 +308,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     through, those named like the results are replaced.
     """
     rows = line_rows(docs.where(F.col("doc_id").isNotNull()), min_chars)
-    seen = Observation()
-    refs = references(rows.observe(seen, F.count(F.lit(1)).alias("lines")))
-    return _apply(docs, rows, counts(refs).where(F.col("refs") >= min_docs), seen)
+    known = materialise(counts(references(rows)).where(F.col("refs") >= min_docs), "line-counts")
+    # a shard's filter is built by one task
+    shards = max(1, -(-known.count() // SHARD_KEYS))
+    kept = materialise(filters(known, shards), "line-filters")
+    return rewrite(docs, dropped_lines(rows, known, kept, shards))
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

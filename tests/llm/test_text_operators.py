@@ -152,6 +152,57 @@ def test_line_index_is_reversible(spark, odd):
     assert both.insert(more).refs.count() == both.refs.count()
 
 
+def held(state):
+    """Keys that the stored filters hold, by number."""
+    out = 0
+    for r in state.kept.collect():
+        f = line_dedup.CuckooFilter.from_bytes(bytes(r["filter"]))
+        out += int(np.count_nonzero(f.table)) + len(f.overflow)
+    return out
+
+
+def test_stored_filters_follow_inserts_and_deletes(spark, docs, monkeypatch):
+    base = docs.select("doc_id", "text")
+    first, second = base.where("doc_id % 2 = 0"), base.where("doc_id % 2 = 1")
+    decisions = lambda s: Counter((r.doc_id, r.n_dropped, r.kept_text) for r in s.apply(base).collect())
+    one = line_dedup.LineIndex().insert(first)
+    both = one.insert(second)
+    again = both.delete(second)
+    rebuilt = line_dedup.LineIndex(both.refs)
+    assert held(both) == held(rebuilt) == both.eligible().count() > held(one) == held(again) == one.eligible().count() > 0
+    assert decisions(again) == decisions(one) and decisions(both) == decisions(rebuilt)
+    assert {(r.doc_id, r.n_dropped) for r in both.apply(base).collect()} == {(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(base).collect()}
+    assert held(again.delete(first)) == 0
+    # a changed document's old lines are taken back
+    line = "one more line that is long enough to be judged by its key"
+    five = spark.createDataFrame([(i, line) for i in range(5)], "doc_id bigint, text string")
+    state = line_dedup.LineIndex().insert(five)
+    assert held(state) == 1
+    state = state.insert(spark.createDataFrame([(3, "other")], "doc_id bigint, text string"))
+    assert held(state) == 0 and state.eligible().count() == 0
+    # an overflowing filter is built anew
+    monkeypatch.setattr(line_dedup, "OVERFLOW", -1)
+    assert held(one.insert(second)) == held(both)
+
+
+def test_line_dedup_by_shard(docs, monkeypatch):
+    want = Counter(tuple(r) for r in line_dedup.dedup_report(docs).collect())
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 7)
+    monkeypatch.setattr(line_dedup, "GROUP_LINES", 50)
+    assert Counter(tuple(r) for r in line_dedup.dedup_report(docs).collect()) == want
+
+
+def test_clashing_names_come_out_as_they_were(spark):
+    inner = ["_doc", "_row", "_gone", "_source", "_whole", "_rest", "_blocks", "_last", "_N", "_s", "_b", "_left", "_reads", "_key", "_range", "_in", "_top", "_to", "_to_own", "_pieces"]
+    line = "one line that is long enough to be judged by its key"
+    df = spark.createDataFrame([(i, f"{line}\nown {i}", "a", *[f"{c}{i}" for c in inner]) for i in range(6)], ["doc_id", "text", "source", *inner])
+    for out in (line_dedup.dedup_lines(df), mixing.mix(df), syncmers.with_next(df, ["text"]), bpe.encode(df, RANKS, PATTERN)):
+        rows = out.collect()
+        assert {r.doc_id for r in rows} == set(range(6)) and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in inner)
+    assert sum(r.n_dropped for r in line_dedup.dedup_lines(df).collect()) == 5
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 5_000, dtype=np.uint64))
@@ -406,6 +457,23 @@ def test_perspectives(spark):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_perspectives_against_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(c), None if t > 40 else int(t), ["ann", "bob", "system", "cy", None][r], "x" * int(n) + "<|") for c, t, r, n in zip(rng.integers(0, 4, 600), rng.integers(-3, 45, 600), rng.integers(0, 5, 600), rng.integers(0, 4, 600), strict=True)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = defaultdict(list)
+    for r in chat.rotate(df).collect():
+        got[r.conv_id, r.perspective].append(r)
+    assert set(got) == {(c, s or "unknown") for c, _, s, _ in rows if s != "system"}
+    for (conv, who), segments in got.items():
+        segments.sort(key=lambda r: r.start)
+        assert Counter((r.turn, r.speaker, r.body) for r in segments) == Counter((t, s or "unknown", b.replace("<|", "<\\|")) for c, t, s, b in rows if c == conv)
+        turns = [1 << 62 if r.turn is None else r.turn for r in segments]
+        assert turns == sorted(turns) and segments[0].start == 0
+        assert all(a.end == b.start for a, b in zip(segments, segments[1:], strict=False))
+        assert all(r.end - r.start == len(r.head + r.body + r.tail) and r.mask == (r.speaker == who) == (r.head == "<|assistant|>\n") for r in segments)
+
+
 def test_perspectives_of_a_long_conversation(spark):
     df = spark.range(3_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("role"), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")).alias("text"))
     rows = chat.rotate(df).where("perspective = 'a'").orderBy("turn").collect()
