@@ -8,7 +8,7 @@ lookup tables, and for balls that may be in reach the exact cosine decides: a wh
 its members are compared one by one. So links are counted without listing the pairs of a group.
 
 Bounds are kept in every step (a code's error, a ball's radius), so only the choice of lists can miss a link; see
-``MARGIN``. Centroids and codebooks are fitted on a bounded sample; every vector is indexed.
+``MARGIN``, and ``exact`` for a choice that can't. Centroids and codebooks are fitted on a bounded sample; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from linespan.llm.common import materialise
 from linespan.llm.components import components
 
 COSINE = 0.93
-#: The sample that centroids and codebooks are fitted on, and how many of them there are at most.
-SAMPLE, CELLS, SUBSPACES, CODES = 8_192, 256, 8, 64
+#: Lists are as many as the square root of the rows, and so many at most; subspaces of a code and codes of each.
+CELLS, SUBSPACES, CODES = 2_048, 8, 64
+#: The sample that centroids and codebooks are fitted on: so many rows, or so many for each list if that is more.
+SAMPLE, EACH = 8_192, 32
 #: Lists are looked into up to this share of the link distance beyond their border; from 12 dimensions down all that can
 #: hold a link, above that 3.5 / sqrt(dimensions) of it: a random direction is that close to the border's normal.
 MARGIN = 3.5
@@ -54,8 +56,10 @@ class Index:
     def probes(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
         """For each row the cells to look into: those whose border with its own is within ``reach``."""
         own, d = self.cells(x)
-        apart = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(-1), 1e-30))
-        border = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart[own])
+        length = (self.centroids**2).sum(1)
+        at = self.centroids[own]
+        apart = np.sqrt(np.maximum(length[own][:, None] + length - 2 * at @ self.centroids.T, 1e-30))
+        border = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart)
         border[np.arange(len(x)), own] = 0
         return [np.flatnonzero(b <= reach).astype(np.int32) for b in border]
 
@@ -91,11 +95,15 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return np.unique(c, axis=0)
 
 
+def lists_for(rows: int) -> int:
+    return max(1, min(CELLS, int(np.sqrt(rows))))
+
+
 def fit(sample: np.ndarray, rows: int, seed: int = 5) -> Index:
     """An index from unit vectors; ``rows``: how many there are in all, which sets the number of lists."""
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
-    centroids = _kmeans(sample, max(1, min(CELLS, int(np.sqrt(rows)), len(sample))), rng)
+    centroids = _kmeans(sample, min(lists_for(rows), len(sample)), rng)
     m = min(SUBSPACES, d)
     cuts = [d * i // m for i in range(m + 1)]
     near = ((centroids**2).sum(1) - 2 * sample @ centroids.T).argmin(1)
@@ -143,7 +151,7 @@ def _columns(df: DataFrame, dropped: tuple[str, ...] = ()) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in dropped)
 
 
-def _with_cells(df: DataFrame, indexes: dict[int, Index], vector: str, coded: bool = False, reach: float | None = None) -> DataFrame:
+def _with_cells(df: DataFrame, indexes: dict[int, Index], vector: str, coded: bool = False, reach: float | None = None, margin: float = MARGIN) -> DataFrame:
     """``df`` with cell, or with a row for each cell to look into (``reach``), or with code and error too (``coded``)."""
     shared = df.sparkSession.sparkContext.broadcast(indexes)
     schema = _columns(df) + (", cells array<int>" if reach is not None else ", cell int") + ", code binary, error double" * coded
@@ -155,7 +163,7 @@ def _with_cells(df: DataFrame, indexes: dict[int, Index], vector: str, coded: bo
                 for dim, own in pdf.groupby(pdf[vector].map(len)):
                     index, x = shared.value[int(dim)], _matrix(own[vector])
                     if reach is not None:
-                        yield own.assign(cells=index.probes(x, min(1.0, MARGIN / np.sqrt(dim)) * reach))
+                        yield own.assign(cells=index.probes(x, min(1.0, margin / np.sqrt(dim)) * reach))
                         continue
                     own = own.assign(cell=index.cells(x)[0].astype(np.int32))
                     if coded:
@@ -251,20 +259,23 @@ def _units(vectors: DataFrame) -> DataFrame:
     return own.mapInArrow(run, f"vec_id bigint, label {own.schema['label'].dataType.simpleString()}, vec array<double>, mark string")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Two vectors are linked if their labels are equal and not null, their lengths too, and their cosine in doubles is
     ``cosine`` at least. Null, empty and zero vectors and those with null, NaN or infinite components have no links.
     Repeated rows are separate vectors, linked with each other; a null vec_id takes part in links but names no
-    component. Extra columns are ignored; an empty table gives no rows.
+    component (rows that reach no id have none). Extra columns are ignored; an empty table gives no rows.
+
+    ``exact``: every list that can hold a link is looked into, so none is missed; without it, lists are chosen by ``MARGIN``.
     """
     rows = materialise(_units(vectors), "vectors")
-    classes = rows.where(F.col("vec").isNotNull()).groupBy("mark").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec")).where(F.col("rep").isNotNull())
-    classes = materialise(classes.withColumn("dim", F.size("vec")), "vector-classes")
+    classes = rows.where(F.col("vec").isNotNull()).groupBy("mark").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    # classes are named by a number of their own, as all rows of one may lack an id
+    classes = materialise(classes.withColumns({"dim": F.size("vec"), "rep": F.xxhash64("mark")}), "vector-classes")
     indexes = {}
     for dim, n in [tuple(r) for r in classes.groupBy("dim").count().collect()]:  # a row for each length of vector
-        some = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("mark"), "mark").limit(SAMPLE).select("vec").collect()
+        some = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("mark"), "mark").limit(max(SAMPLE, EACH * lists_for(n))).select("vec").collect()
         indexes[dim] = fit(np.array([r.vec for r in some]), n)
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not indexes:
@@ -283,7 +294,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         now = merged.where(F.col("name") == F.col("ball"))
     held = materialise(_with_cells(now.select("ball", "label", "dim", "size", "vec", "own"), indexes, "vec", coded=True), "coded-balls")
     asked = classes.select("rep", "label", "dim", "vec").join(belongs, "rep")
-    probing = _with_cells(asked, indexes, "vec", reach=1.25 * link_distance(cosine))
+    # a ball's centre is half a link distance from its members at most
+    wide = {"reach": 1.5 * link_distance(cosine), "margin": np.inf} if exact else {"reach": 1.25 * link_distance(cosine)}
+    probing = _with_cells(asked, indexes, "vec", **wide)
     # lists that many look into, or that hold many balls, are cut both ways
     asked_n = probing.groupBy(*LIST).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("asked_n"))
     held_n = held.groupBy(*LIST).agg(F.ceil(F.count(F.lit(1)) / BALLS).cast("int").alias("held_n"))
@@ -299,11 +312,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     inside = belongs.join(held.select("ball", F.col("size").alias("n")), "ball").select("rep", F.col("ball").alias("other"), "n")
     pairs = met.where("NOT whole").select("rep", "ball").join(classes.select("rep", F.col("vec").alias("x")), "rep").join(belongs.select(F.col("rep").alias("other"), "ball"), "ball").join(classes.select(F.col("rep").alias("other"), F.col("vec").alias("y"), F.col("size").alias("n")), "other")
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    exact = pairs.where(dot >= cosine).select("rep", "other", "n")
-    linked = materialise(whole.unionByName(inside).unionByName(exact), "vector-links")
+    near = pairs.where(dot >= cosine).select("rep", "other", "n")
+    linked = materialise(whole.unionByName(inside).unionByName(near), "vector-links")
     total = linked.groupBy("rep").agg((F.sum("n") - 1).alias("n_links"))
-    reached = components(linked, "rep", "other")
-    done = classes.select("mark", "rep").join(total, "rep").join(reached, F.col("rep") == F.col("node"), "left").select(F.col("mark").alias("_mark"), "n_links", F.coalesce("component", "rep").alias("component_id"))
+    reached = classes.join(components(linked, "rep", "other"), F.col("rep") == F.col("node"), "left").select("mark", "rep", "id", F.coalesce("component", "rep").alias("component"))
+    least = reached.groupBy("component").agg(F.min("id").alias("component_id"))  # the smallest id that there is
+    done = reached.join(least, "component").join(total, "rep").select(F.col("mark").alias("_mark"), "n_links", "component_id")
     out = rows.join(done, F.col("mark") == F.col("_mark"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
