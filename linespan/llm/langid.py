@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linespan.llm.common import held_out
+from linespan.llm.common import held_out, small_batches
 
 WINDOW, HIDDEN = 64, 8
 #: The training sample: documents of each language about, documents in all at most, windows of each.
@@ -117,17 +117,29 @@ def _step(m: Model, data: np.ndarray, mask: np.ndarray, label: np.ndarray) -> tu
     return loss, [dx, du, dv, dc]
 
 
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (N, WINDOW), mask and text number of the windows of all texts; an empty text has none."""
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the windows of all texts, one after the other, start, how long they are and which text they are of; an
+    empty text has none."""
     size = np.array([len(t) for t in texts], dtype=np.int64)
     n = -(-size // WINDOW)
     which = np.repeat(np.arange(len(texts)), n)
-    first = np.cumsum(n) - n
-    start = (np.cumsum(size) - size)[which] + WINDOW * (np.arange(len(which)) - first[which])
-    at = start[:, None] + np.arange(WINDOW)
-    mask = at < np.cumsum(size)[which][:, None]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    return (np.where(mask, data[np.minimum(at, max(len(data) - 1, 0))], 0).astype(np.uint8) if len(data) else np.zeros((0, WINDOW), np.uint8)), mask, which
+    inside = WINDOW * (np.arange(len(which)) - (np.cumsum(n) - n)[which])
+    return (np.cumsum(size) - size)[which] + inside, np.minimum(WINDOW, size[which] - inside), which
+
+
+def laid_out(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes (N, WINDOW) and mask of some windows; zeros where a window is shorter."""
+    at = np.arange(WINDOW)
+    mask = at < length[:, None]
+    return np.where(mask, data[np.minimum(start[:, None] + at, max(len(data) - 1, 0))], 0).astype(np.uint8), mask
+
+
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (N, WINDOW), mask and text number of the windows of all texts: for samples, a text is read in blocks."""
+    start, length, which = cut(texts)
+    if not len(which):
+        return np.zeros((0, WINDOW), np.uint8), np.zeros((0, WINDOW), bool), which
+    return *laid_out(np.frombuffer(b"".join(texts), np.uint8), start, length), which
 
 
 def train(samples: list[tuple[str, list[bytes]]], seed: int = 7) -> Model:
@@ -201,14 +213,16 @@ class Reader:
         total = np.zeros((len(texts), len(self.m.labels)))
         if not self.m.labels:
             return total
-        data, mask, which = windows(texts)
-        full = mask[:, -1] if len(mask) else np.zeros(0, bool)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        start, length, which = cut(texts)
+        full = length == WINDOW
         for rows in (np.flatnonzero(full), np.flatnonzero(~full)):
             for k in range(0, len(rows), BLOCK):
                 own = rows[k : k + BLOCK]
                 whole = bool(full[own[0]])
-                p = self.probabilities(data[own], None if whole else mask[own])
-                p = p.sum(1) if whole else (p * mask[own].T).sum(1)
+                block, mask = laid_out(data, start[own], length[own])
+                p = self.probabilities(block, None if whole else mask)
+                p = p.sum(1) if whole else (p * mask.T).sum(1)
                 np.add.at(total, which[own], p.T)
         return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
@@ -231,16 +245,19 @@ def fit(docs: DataFrame) -> Model:
     at = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.char_length("text") - WINDOW, F.lit(1))).cast("int") + 1
     parts = F.array(*[F.substring("text", at(i), F.lit(WINDOW)) for i in range(WINDOWS_EACH)])
     # the sample has at most SAMPLE rows
-    found = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "lang", parts.alias("parts")).limit(2 * SAMPLE).collect()
-    found.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.parts))
+    found = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "lang", parts.alias("parts"))
+    # where ids repeat there may be more rows; which of them are taken doesn't depend on their order
+    found = found.orderBy("doc_id", "lang", "parts").limit(2 * SAMPLE).collect()
     return train([(r.lang, [p.encode() for p in r.parts]) for r in found])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score. Null text, text without a letter, and any text if no label was learned: 'und'
+def predict(docs: DataFrame, model: Model, keep_text: bool = True) -> DataFrame:
+    """``docs`` with lang_pred and score (and without text, unless ``keep_text``). Null text, text without a letter, and any text if no label was learned: 'und'
     with score 0. Other columns pass through (those named like the results are replaced)."""
     keep = docs.drop("lang_pred", "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + ", lang_pred string, score double"
+    names = [c for c in keep.columns if keep_text or c != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema if f.name in names), "lang_pred string", "score double"])
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +268,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 b = whole.slice(k, 256)
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 p = reader.pooled([t.encode() for t in texts])
+                b = b.select(names)
                 letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
                 known = letters if p.shape[1] else np.zeros(len(texts), bool)
                 best = np.where(known, p.argmax(1), len(labels) - 1) if p.shape[1] else np.full(len(texts), len(labels) - 1)
                 score = np.where(known, np.clip(p.max(1), 0, 1), 0.0) if p.shape[1] else np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels[best].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return keep.mapInArrow(run, schema)
 
@@ -267,5 +285,5 @@ def language_report(docs: DataFrame) -> DataFrame:
     rows (and no model); extra columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    out = predict(own.select("doc_id", "text"), fit(own))
+    out = predict(own.select("doc_id", "text"), fit(own), keep_text=False)
     return out.select("doc_id", held_out(F.col("doc_id"), FOLDS, TEST_FOLD).alias("held_out"), "lang_pred", "score")

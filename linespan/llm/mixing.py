@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linespan.llm.common import materialise
+from linespan.llm.common import materialise, shielded
 
 REPEAT_LIMIT = 2.0
 #: Documents a block holds about, and blocks a source has at most (then they hold more).
@@ -108,6 +108,7 @@ def _mark(*parts: Column) -> Column:
     return F.xxhash64(F.lit(SEED), *parts)
 
 
+@shielded("_source", "_whole", "_rest", "_blocks", "_n", "_s", "_b", "_last", "_left", "_reads")
 def mix(docs: DataFrame, target: Target | None = None) -> DataFrame:
     """The mix: a row of ``docs`` for every time it is read, with n_tokens, epoch (from 1), block, block_key and doc_key.
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linespan.llm.common import materialise, partitions
+from linespan.llm.common import materialise, partitions, small_batches
 from linespan.llm.simhash import SEED, spans
 
 WORDS, LEAST = 5, 0.8
@@ -94,6 +94,7 @@ def alike(docs: DataFrame, words_each: int = WORDS, least: float = LEAST) -> Dat
             data = [pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *data], names=["doc_id", "key", "n", "bands"])
 
+    small_batches(docs.sparkSession)
     prints = materialise(own.mapInArrow(banded, "doc_id bigint, key bigint, n bigint, bands array<bigint>").where("n > 0"), "bands")
     first = prints.groupBy("key").agg(F.min("doc_id").alias("rep"))
     same = prints.join(first, "key").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linespan.llm.common import partitions
+from linespan.llm.common import partitions, shielded
 
 K, S, SKETCH = 5, 2, 128
 #: Words are runs outside [\x20\x09-\x0D]; longer ones count as several words, so that text without blanks has anchors too.
@@ -75,6 +75,7 @@ def _bucket(key: Column, bounds: list[int], first: int = 0) -> Column:
     return F.when(key < bounds[mid], _bucket(key, bounds[:mid], first)).otherwise(_bucket(key, bounds[mid + 1 :], first + mid + 1))
 
 
+@shielded("_key", "_range", "_in", "_top", "_to")
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, ...) with next_<column> of the row after it in descending doc_id.
 

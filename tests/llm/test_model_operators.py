@@ -208,6 +208,60 @@ def test_embeddings_recall(spark):
     assert want >= 800 and found / want >= 0.9 and found <= want
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_embeddings_recall_with_many_lists(spark, monkeypatch, exact):
+    """As many lists as a table of 90 000 rows has."""
+    monkeypatch.setattr(embedding_dedup, "lists_for", lambda rows: 300)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(800, 64))
+    y = x + rng.normal(size=x.shape) * rng.choice([0.1, 0.25, 0.36], (len(x), 1))
+    rows = [(i, _single(v), 0) for i, v in enumerate(np.concatenate([x, y]))]
+    found = sum(r.n_links for r in embedding_dedup.near_duplicates(_vectors(spark, rows), exact=exact).collect())
+    want = sum(n * k for (_, n, _, _), k in _plainly(rows).items())
+    assert want >= 1_000 and (found == want if exact else 0.95 <= found / want <= 1)
+
+
+def test_embeddings_without_ids_take_part(spark):
+    rows = [(1, [1.0, 0.0], 1), (None, [1.0, 0.1], 1), (None, [0.0, 1.0], 1), (None, [0.0, 2.0], 1), (7, [1.0, 0.2], 1)]
+    out = Counter(tuple(r) for r in embedding_dedup.near_duplicates(_vectors(spark, rows)).collect())
+    assert out == Counter([(1, 2, 1, True), (None, 2, 1, True), (None, 1, None, True), (None, 1, None, True), (7, 2, 1, False)]) or out == Counter([(1, 2, 1, True), (None, 2, 1, False), (None, 1, None, True), (None, 1, None, True), (7, 2, 1, False)])
+
+
+def test_components_end_when_no_edge_changes(spark):
+    from linespan.llm.components import components
+
+    edges = [(i, i + 1) for i in range(0, 200)] + [(500, 499), (499, 498), (7, 7), (None, 3), (900, None)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(201)} | {500: 498, 499: 498, 498: 498}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from linespan.llm import common
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Far)
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    words = [f"W{i * 7919 % 997}" for i in range(2_000)]
+    text = "  " + "\n".join(words) + "\t"
+    for most in (7, 100, 1_999, 2_000, 2_001):
+        parts = list(toxicity.in_parts(text, most))
+        assert [end for _, end in parts] == [False] * (len(parts) - 1) + [True] and max(len(p) for p, _ in parts) <= most
+        whole = parts[0][0] + [w for p, _ in parts[1:] for w in p[toxicity.PAD :]]
+        assert whole == [w.lower() for w in words]
+    assert list(toxicity.in_parts("")) == [([], True)]
+
+
 def test_codes_bound_distances():
     rng = np.random.default_rng(10)
     x = rng.normal(size=(300, 20))
