@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns that are numbered together; a longer conversation is numbered in several parts.
-PART = 512
+#: Turn numbers whose segments are placed together, and parts that the rows of one turn number are placed in.
+PART, BUCKETS = 512, 4_096
+#: Copies of a row that are told apart at once.
+COPIES = 1_000
 #: Roles that speak for nobody: they are rendered for every perspective and no perspective is theirs.
 SYSTEM = ("system",)
 
@@ -29,36 +31,52 @@ def rotate(turns: DataFrame) -> DataFrame:
     start and end are its place in the rendered dialogue in code points. A segment is
     ``<|assistant|>\\n``, ``<|user name=...|>\\n`` or ``<|system|>\\n``, the text, ``<|end|>\\n``.
 
-    Turns stand in the order of turn, then role and text; null turns come last. Null role: the speaker 'unknown'; null
-    text: the empty text. Repeated rows are separate turns. A conversation in which only system speaks has no
-    perspective and gives no rows. A null conv_id is a conversation like any other. Other columns are ignored.
+    Turns stand in the order of turn, then of a hash of speaker and text; null turns come last. Null role: the speaker
+    'unknown'; null text: the empty text. Repeated rows are separate turns. A conversation in which only system speaks
+    has no perspective and gives no rows. A null conv_id is a conversation like any other. Other columns are ignored.
+
+    Segments are placed by their lengths, without the texts; these are shuffled once, to meet their places.
     """
-    own = turns.select(F.col("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("unknown")).alias("speaker"), F.coalesce("text", F.lit("")).alias("body"))
-    own = own.withColumn("body", escape(F.col("body")))
-    # turn numbers, times and rows may repeat in a conversation; a part is a range of turn numbers and a hash within it
-    speakers = own.where(~F.col("speaker").isin(*SYSTEM)).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct()
-    rows = own.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
-    mine = F.col("speaker") == F.col("perspective")
-    system = F.col("speaker").isin(*SYSTEM)
+    own = turns.select(
+        "conv_id",
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv"),
+        F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("unknown")).alias("speaker"),
+        escape(F.coalesce("text", F.lit(""))).alias("body"),
+    )
+    whole = ["conv", F.col("turn").isNull(), "turn", "speaker", "body"]
+    own = own.withColumns({"u1": F.xxhash64(*whole), "u2": F.xxhash64(F.lit("second"), *whole)})
+    system, mine = F.col("speaker").isin(*SYSTEM), F.col("speaker") == F.col("perspective")
+    speakers = own.where(~system).select("conv", F.col("speaker").alias("perspective")).distinct()
+    sized = own.groupBy("conv", "turn", "speaker", "u1", "u2", F.char_length("body").alias("chars")).agg(F.count(F.lit(1)).alias("n"))
     head = F.when(mine, F.lit("<|assistant|>\n")).when(system, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), escape(F.col("speaker")), F.lit("|>\n")))
-    rows = rows.select("conv_id", "perspective", "turn", "speaker", F.when(mine, "assistant").when(system, "system").otherwise("user").alias("as_role"), head.alias("head"), "body", F.lit("<|end|>\n").alias("tail"), mine.cast("int").alias("mask"))
-    return _offsets(rows)
+    tail = F.lit("<|end|>\n")
+    size = F.char_length(head) + F.col("chars") + F.char_length(tail)
+    places = _starts(sized.join(speakers, "conv").select("conv", "perspective", F.coalesce("turn", F.lit((1 << 63) - 1)).alias("turn"), "u1", "u2", (size * F.col("n")).alias("size")))
+    texts = own.groupBy("u1", "u2").agg(*[F.first(c).alias(c) for c in ("conv_id", "turn", "speaker", "body")], F.count(F.lit(1)).alias("n"))
+    met = texts.join(places, ["u1", "u2"])
+    some = met.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES))))
+    each = some.withColumn("copy", F.explode(F.sequence(F.col("k"), F.least(F.col("k") + COPIES, F.col("n")) - 1)))
+    each = each.withColumns({"head": head, "tail": tail}).withColumn("size", (F.char_length("head") + F.char_length("body") + F.char_length("tail")).cast("long"))
+    start = F.col("start") + F.col("copy") * F.col("size")
+    as_role = F.when(mine, "assistant").when(system, "system").otherwise("user")
+    return each.select("conv_id", "perspective", "turn", "speaker", as_role.alias("as_role"), "head", "body", "tail", mine.cast("int").alias("mask"), start.alias("start"), (start + F.col("size")).alias("end"))
 
 
-def _offsets(rows: DataFrame) -> DataFrame:
-    """start and end of each segment, by sums over parts of a dialogue and over the segments of a part."""
-    size = (F.char_length("head") + F.char_length("body") + F.char_length("tail")).cast("long")
-    sized = rows.withColumn("_size", size).withColumn("_turn", F.coalesce("turn", F.lit((1 << 63) - 1)))
-    sized = sized.withColumn("_part", F.floor(F.col("_turn") / PART))
-    dialogue = ["conv_id", "perspective"]
-    sums = sized.groupBy(*dialogue, "_part").agg(F.sum("_size").alias("_sum"))
-    before = Window.partitionBy(*dialogue).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("conv_id").alias("_c"), F.col("perspective").alias("_p"), F.col("_part").alias("_q"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"))
-    inner = Window.partitionBy(*dialogue, "_part").orderBy("_turn", "speaker", "body").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_in", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
-    joined = placed.join(starts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("perspective") == F.col("_p")) & (F.col("_part") == F.col("_q")))
-    start = F.col("_from") + F.col("_in")
-    return joined.select(*rows.columns, start.alias("start"), (start + F.col("_size")).alias("end"))
+def _starts(rows: DataFrame) -> DataFrame:
+    """perspective, u1, u2 and start of each row of (conv, perspective, turn, u1, u2, size). A window holds the rows of a
+    turn that share a bucket of their hash, the buckets of ``PART`` turn numbers, or the parts of a dialogue."""
+    rows = rows.withColumns({"bucket": F.shiftrightunsigned("u1", 52).cast("int"), "part": F.floor(F.col("turn") / PART)})
+    dialogue, held = ["conv", "perspective"], ["conv", "perspective", "part", "turn", "bucket"]
+    before = lambda by, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = rows.groupBy(*held).agg(F.sum("size").alias("size"))
+    parts = buckets.groupBy(*dialogue, "part").agg(F.sum("size").alias("size"))
+    parts = parts.select(*dialogue, "part", before(dialogue, ["part"], "size").alias("to_part"))
+    # as signed numbers the upper half of u1 comes first; buckets are numbered alike
+    signed = F.when(F.col("bucket") >= BUCKETS // 2, F.col("bucket") - BUCKETS).otherwise(F.col("bucket"))
+    buckets = buckets.select(*held, before([*dialogue, "part"], ["turn", signed], "size").alias("to_bucket"))
+    placed = rows.withColumn("inside", before(held, ["u1", "u2"], "size"))
+    return placed.join(buckets, held).join(parts, [*dialogue, "part"]).select("perspective", "u1", "u2", (F.col("to_part") + F.col("to_bucket") + F.col("inside")).alias("start"))
 
 
 def render(segments: DataFrame) -> DataFrame:
