@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,7 +235,8 @@ class _Count:
                 if doc:
                     self.inside, self.comment = False, True
                     rest = data.find(b"\n", at)
-                    if rest < 0 or data[at:rest].strip(_WHITE):
+                    # at the very end of a file it is a comment, with blanks behind it there it is code
+                    if (rest < 0 and at < len(data)) or data[at : max(rest, at)].strip(_WHITE):
                         self.code = True
                 break
         if not self.stop and m is not None:
@@ -251,7 +253,13 @@ def count(content: bytes, rule: Rule, complexity: bool = True, bytes_too: bool =
 
 def mask(content: bytes, types: bytes, keep: set[int]) -> bytes:
     """``content`` with all bytes but newlines and those of the classes to keep turned into blanks."""
-    return bytes(c if c == 10 or t in keep else 32 for c, t in zip(content, types, strict=True))
+    data, kind = np.frombuffer(content, np.uint8), np.frombuffer(types, np.uint8)
+    return np.where((data == 10) | np.isin(kind, list(keep)), data, 32).astype(np.uint8).tobytes()
+
+
+def code_bytes(content: bytes, types: bytes) -> bytes:
+    """The bytes of code alone."""
+    return np.frombuffer(content, np.uint8)[np.frombuffer(types, np.uint8) == CODE].tobytes()
 
 
 _COLUMNS = (
@@ -281,7 +289,7 @@ def count_files(files: DataFrame, rules: dict[str, Rule] | None = None, complexi
                 s = count(data, rules.get(language, UNKNOWN), complexity, bytes_too=code_hash, most=most)
                 for n in out:
                     if n == "code_hash":
-                        out[n].append(hashlib.blake2b(bytes(c for c, t in zip(data, s.byte_types, strict=True) if t == CODE), digest_size=32).digest())
+                        out[n].append(hashlib.blake2b(code_bytes(data, s.byte_types or b""), digest_size=32).digest())
                     else:
                         out[n].append(getattr(s, n))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(out[n], t) for n, t in columns)], names=[*b.schema.names, *out])

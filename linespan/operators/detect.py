@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,8 +76,9 @@ def shebang_languages(rules: dict[str, Rule]) -> dict[str, str]:
     return {c: r.name for r in rules.values() for c in r.shebangs}
 
 
-def _anchored(content: Column, literal: str) -> Column:
-    return content.rlike(r"(?m)^[ \t]*" + re.escape(literal))
+def _any_of(literals: tuple[str, ...], anchored: bool) -> str:
+    either = "|".join(re.escape(x) for x in literals)
+    return rf"(?m)^[ \t]*(?:{either})" if anchored else either
 
 
 def _scored(rule: Rule, content: Column) -> Column:
@@ -86,14 +87,21 @@ def _scored(rule: Rule, content: Column) -> Column:
     for h in rule.heuristics:
         hit = content.rlike(h.pattern)
         if h.literals:
-            there = F.lit(False)
-            for x in h.literals:
-                there = there | (_anchored(content, x) if h.anchored else F.contains(content, F.lit(x)))
-            hit = F.when(there, hit).otherwise(F.lit(False))
+            hit = F.when(content.rlike(_any_of(h.literals, h.anchored)), hit).otherwise(F.lit(False))
         score = score + hit.cast("int")
     return score
 
 
+def _best(scored: list[tuple[str, Column]]) -> Column:
+    """struct(score, turn, name) of the highest score, of equal ones the first; each score stands in it once."""
+    return F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("turn"), F.lit(name).alias("name")) for i, (name, s) in enumerate(scored)]))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def resolve(candidates: Iterable[str], rules: dict[str, Rule], content: Column) -> Column:
     """The language of a content among several: the one most of whose heuristics match, if any does; else by keywords.
     A language with neither is what the rest has to beat, by three keywords at least. Ties go by name."""
@@ -101,22 +109,22 @@ def resolve(candidates: Iterable[str], rules: dict[str, Rule], content: Column)
     if len(names) < 2:
         return F.lit(names[0] if names else None).cast("string")
     head = F.left(content, F.lit(HEURISTIC_BYTES))
-    best = lambda scored: F.greatest(*[s for _, s in scored]) if len(scored) > 1 else scored[0][1]
-
-    def first(scored: list[tuple[str, Column]]) -> Column:
-        out, top = F.lit(scored[-1][0]), best(scored)
-        for name, s in reversed(scored[:-1]):
-            out = F.when(s == top, F.lit(name)).otherwise(out)
-        return out
-
-    smart = [(n, _scored(rules[n], head)) for n in names if rules[n].heuristics]
+    smart = [n for n in names if rules[n].heuristics]
     plain = [n for n in names if not rules[n].heuristics]
-    keyed = [(n, sum((F.contains(head, F.lit(k)).cast("int") for k in dict.fromkeys(rules[n].keywords)), F.lit(0))) for n in plain]
     primary = min((n for n in plain if not rules[n].keywords), default=None)
-    by_words = first(keyed) if keyed else F.lit(names[0])
-    if primary is not None and keyed:
-        by_words = F.when(best(keyed) < 3, F.lit(primary)).otherwise(by_words)
-    return F.when(best(smart) > 0, first(smart)).otherwise(by_words) if smart else by_words
+
+    def by_words(text: Column) -> Column:
+        if not plain:
+            return F.lit(names[0])
+        keyed = _best([(n, sum((F.contains(text, F.lit(k)).cast("int") for k in dict.fromkeys(rules[n].keywords)), F.lit(0))) for n in plain])
+        return _let(keyed, lambda x: F.when(x["score"] < 3, F.lit(primary)).otherwise(x["name"]) if primary is not None else x["name"])
+
+    def judged(text: Column) -> Column:
+        if not smart:
+            return by_words(text)
+        return _let(_best([(n, _scored(rules[n], text)) for n in smart]), lambda x: F.when(x["score"] > 0, x["name"]).otherwise(by_words(text)))
+
+    return _let(head, judged)
 
 
 def remap(language: Column, content: Column, rules: list[tuple[str, str]]) -> Column:
@@ -163,9 +171,8 @@ def detect(files: DataFrame, rules: dict[str, Rule] | None = None, count_as: dic
         files = files.where(F.col("extension").isin(*only_extensions))
     commands = shebang_languages(names.rules)
     command = shebang_command(F.left(text, F.lit(SHEBANG_BYTES)))
-    by_command = F.lit(None).cast("string")
-    for c, name in sorted(commands.items()):
-        by_command = F.when(command == c, F.lit(name)).otherwise(by_command)
+    known = F.create_map(*[F.lit(x) for pair in sorted(commands.items()) for x in pair]) if commands else F.create_map().cast("map<string,string>")
+    by_command = F.try_element_at(known, command)
     if remap_unknown:
         by_command = F.coalesce(remap(F.lit(None).cast("string"), text, remap_unknown), by_command)
     language = F.when(F.array_contains("candidates", SHEBANG), by_command)

@@ -1,15 +1,16 @@
 """Rules of languages: how their comments, strings and branches look and which files they are found in.
 
-The rules that come with the package cover common languages and are built from a few families. ``load`` reads further
-ones, or all of them, from a JSON file: an object by language name with the keys of ``Rule`` (lists of strings; quotes and
-heuristics as objects; multi_line as pairs), so the table isn't bound to what stands here.
+The rules that come with the package are the values in ``languages.jsonl``. ``load`` reads further ones, or all of them,
+from a JSON file: an object by language name with the keys of ``Rule`` (lists of strings; quotes and heuristics as objects;
+multi_line as pairs), so the table isn't bound to what stands there.
 """
 
 from __future__ import annotations
 
 import json
+import pkgutil
 import re
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -46,94 +47,23 @@ class Rule:
     heuristics: tuple[Heuristic, ...] = ()
 
 
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(text.split())
-
-
-DOUBLE, SINGLE, BACK = Quote('"', '"'), Quote("'", "'"), Quote("`", "`", True)
-#: Branches of the C family: keywords before a blank or a parenthesis, and operators.
-_BRANCH = tuple(f"{w}{e}" for w in ("for", "if", "switch", "while") for e in (" ", "(")) + ("else ", "|| ", "&& ", "!= ", "== ")
-_SHELL = ("if ", "for ", "while ", "case ", "elif ", "until ", "&& ", "|| ")
-_SLASH = {"line_comment": ("//",), "multi_line": (("/*", "*/"),)}
-_HASH = {"line_comment": ("#",)}
-
-
-def _c(name: str, extensions: str, quotes: tuple[Quote, ...] = (DOUBLE,), more: tuple[str, ...] = (), **own) -> Rule:
-    return Rule(name, _words(extensions), quotes=quotes, complexity_checks=_BRANCH + more, **(_SLASH | own))
-
-
-def _script(name: str, extensions: str, checks: tuple[str, ...], quotes: tuple[Quote, ...] = (DOUBLE, SINGLE), **own) -> Rule:
-    return Rule(name, _words(extensions), quotes=quotes, complexity_checks=checks, **(_HASH | own))
-
-
-def _markup(name: str, extensions: str, quotes: tuple[Quote, ...] = (DOUBLE,)) -> Rule:
-    return Rule(name, _words(extensions), multi_line=(("<!--", "-->"),), quotes=quotes)
-
-
-_PY = ("for ", "for(", "if ", "if(", "while ", "while(", "else:", "elif ", "or ", "and ", "!= ", "== ", "match ", "case ", "except ", "with ")
-_JS = (DOUBLE, SINGLE, BACK)
-BUILT_IN: tuple[Rule, ...] = (
-    _c("C", "c ec pgc"),
-    _c("C Header", "h"),
-    _c("C++", "cc cpp cxx c++ pcc", more=("catch ", "catch(")),
-    replace(
-        _c("C++ Header", "hh hpp hxx h inl ipp"),
-        heuristics=tuple(Heuristic(rf"(?m)^[ \t]*{p}", (w,), True) for w, p in (("template", r"template\b\s*<"), ("class", r"class\s+\w+"), ("namespace", r"namespace\b"), ("using", r"using\s"), ("public", r"public\s*:"), ("private", r"private\s*:"))),
-    ),
-    _c("C#", "cs csx", quotes=(Quote('@"', '"', True), DOUBLE), more=("foreach ", "foreach(", "catch ", "catch(")),
-    _c("Java", "java", more=("catch ", "catch(")),
-    _c("JavaScript", "js cjs mjs", quotes=_JS, more=("catch ", "catch(")),
-    _c("JSX", "jsx", quotes=_JS),
-    replace(_c("TypeScript", "ts tsx cts mts", quotes=_JS, more=("catch ", "catch(")), complexity_checks_postfix=("?.", "??", "??="), keywords=("import ", "export ", "const ", "let ", "function ", "interface ")),
-    _c("Go", "go", quotes=(DOUBLE, BACK), more=("select ", "select{", "case ")),
-    replace(_c("Rust", "rs", quotes=(Quote('r##"', '"##', True), Quote('r#"', '"#', True), DOUBLE), more=("match ", "loop ", "loop{")), nested_multi_line=True, complexity_checks_postfix=("?",), complexity_checks_postfix_excludes=("?Sized",)),
-    _c("Kotlin", "kt kts", quotes=(Quote('"""', '"""', True), DOUBLE), more=("when ", "when("), nested_multi_line=True),
-    _c("Swift", "swift", quotes=(Quote('"""', '"""'), DOUBLE), more=("guard ",), nested_multi_line=True),
-    _c("Scala", "sc scala", quotes=(Quote('"""', '"""', True), DOUBLE), more=("match ", "case ")),
-    _c("Dart", "dart", quotes=(Quote('"""', '"""'), Quote("'''", "'''"), DOUBLE, SINGLE)),
-    _c("D", "d", quotes=(DOUBLE, BACK), multi_line=(("/*", "*/"), ("/+", "+/"))),
-    Rule("PHP", ("php",), line_comment=("//", "#"), multi_line=(("/*", "*/"),), quotes=(DOUBLE, SINGLE), complexity_checks=(*_BRANCH, "foreach ", "foreach("), shebangs=("php",)),
-    Rule("CSS", ("css",), multi_line=(("/*", "*/"),), quotes=(DOUBLE, SINGLE)),
-    Rule("Sass", ("sass", "scss"), line_comment=("//",), multi_line=(("/*", "*/"),), quotes=(DOUBLE, SINGLE)),
-    Rule("LESS", ("less",), line_comment=("//",), multi_line=(("/*", "*/"),), quotes=(DOUBLE, SINGLE)),
-    _script("Python", "py pyw pyi", _PY, (Quote('"""', '"""', doc_string=True), Quote("'''", "'''", doc_string=True), Quote('r"', '"', True), Quote("r'", "'", True), DOUBLE, SINGLE), shebangs=("python", "python2", "python3")),
-    _script("Ruby", "rb", ("for ", "if ", "unless ", "while ", "until ", "case ", "when ", "elsif ", "else ", "rescue ", "|| ", "&& ", "!= ", "== "), multi_line=(("=begin", "=end"),), shebangs=("ruby",), filenames=("rakefile", "gemfile")),
-    _script("Perl", "pl plx pm", ("for ", "for(", "foreach ", "if ", "if(", "unless ", "while ", "while(", "elsif ", "|| ", "&& "), multi_line=(("=pod", "=cut"),), shebangs=("perl",)),
-    _script("Shell", "sh", _SHELL, shebangs=("sh",)),
-    _script("BASH", "bash", _SHELL, shebangs=("bash",), filenames=(".bash_login", ".bash_logout", ".bash_profile", ".bashrc")),
-    _script("R", "r", ("for ", "for(", "if ", "if(", "while ", "while(", "else ", "|| ", "&& ", "!= ", "== "), shebangs=("Rscript",)),
-    _script("Makefile", "makefile mak mk", (), (), filenames=("makefile", "gnumakefile")),
-    _script("Dockerfile", "dockerfile dockerignore", (), (DOUBLE, SINGLE), filenames=("dockerfile",)),
-    _script("YAML", "yaml yml", (), ()),
-    _script("CloudFormation (YAML)", "yaml yml", (), (), keywords=("AWSTemplateFormatVersion", "AWS::", "!Ref", "!Sub", "!GetAtt", "Resources:", "Parameters:")),
-    _script("TOML", "toml", (), (Quote('"""', '"""'), Quote("'''", "'''", True), DOUBLE, SINGLE)),
-    Rule("JSON", ("json",)),
-    Rule("CloudFormation (JSON)", ("json",), keywords=('"AWSTemplateFormatVersion"', '"AWS::', '"Resources"', '"Ref"', '"Fn::')),
-    Rule("INI", ("ini",), line_comment=("#", ";")),
-    Rule("SQL", ("sql", "dml", "ddl", "dql"), line_comment=("--",), multi_line=(("/*", "*/"),), quotes=(SINGLE,)),
-    Rule("Lua", ("lua",), line_comment=("--",), multi_line=(("--[[", "]]"),), quotes=(DOUBLE, SINGLE, Quote("[[", "]]", True)), complexity_checks=("for ", "if ", "while ", "repeat ", "elseif ", "or ", "and ", "~= ", "== "), shebangs=("lua",)),
-    Rule("Haskell", ("hs",), line_comment=("--",), multi_line=(("{-", "-}"),), nested_multi_line=True, quotes=(DOUBLE,), complexity_checks=("if ", "case ", "where ", "|| ", "&& ", "== ")),
-    Rule("OCaml", ("ml", "mli"), multi_line=(("(*", "*)"),), nested_multi_line=True, quotes=(DOUBLE,), complexity_checks=("if ", "match ", "for ", "while ", "|| ", "&& ")),
-    Rule("Lisp", ("lisp", "lsp"), line_comment=(";",), multi_line=(("#|", "|#"),), nested_multi_line=True, quotes=(DOUBLE,), complexity_checks=("(if ", "(cond ", "(case ", "(when ", "(unless ", "(or ", "(and ")),
-    Rule("Clojure", ("clj", "cljc"), line_comment=(";", "#_"), quotes=(DOUBLE,), complexity_checks=("(if ", "(cond ", "(case ", "(when ", "(for ", "(loop ", "(or ", "(and ")),
-    Rule("Erlang", ("erl", "hrl"), line_comment=("%",), quotes=(DOUBLE,), complexity_checks=("case ", "if ", "when ", "receive ")),
-    Rule("Elixir", ("ex", "exs"), line_comment=("#",), quotes=(Quote('"""', '"""', doc_string=True), DOUBLE), complexity_checks=("if ", "case ", "cond ", "unless ", "for ", "|| ", "&& ")),
-    Rule("MATLAB", ("m",), line_comment=("%",), multi_line=(("%{", "%}"),), keywords=("function ", "end", "endfunction", "fprintf"), complexity_checks=("for ", "if ", "while ", "switch ", "elseif ")),
-    replace(_c("Objective C", "m h"), heuristics=(Heuristic(r"(?m)^[ \t]*@(?:interface|class|protocol|property|end|implementation|synthesize|import|selector)\b", ("@",)), Heuristic(r"(?m)^[ \t]*#import\s", ("#import",), True))),
-    Rule("TeX", ("tex", "sty"), line_comment=("%",)),
-    Rule("Batch", ("bat", "btm", "cmd"), line_comment=("REM", "::"), complexity_checks=("if ", "for ", "else ")),
-    Rule("Powershell", ("ps1", "psm1"), line_comment=("#",), multi_line=(("<#", "#>"),), quotes=(DOUBLE,), complexity_checks=_BRANCH),
-    _markup("HTML", "html htm"),
-    _markup("XML", "xml"),
-    _markup("SVG", "svg"),
-    _markup("Vue", "vue"),
-    Rule("Markdown", ("md", "markdown")),
-    Rule("Plain Text", ("text", "txt")),
-    Rule("License", filenames=("license", "licence", "copying", "unlicense")),
-    Rule("CSV", ("csv",)),
-    Rule("gitignore", filenames=(".gitignore",)),
-    Rule("ignore", filenames=(".ignore",)),
-)
+def _rule(name: str, own: dict) -> Rule:
+    """A rule from an object whose keys are those of ``Rule``, in either spelling (nestedmultiline, ignoreEscape)."""
+    own = {re.sub(r"(?<=[a-z])(?=[A-Z])", "_", k).lower(): v for k, v in own.items()}
+    other = {"complexity_checks": "complexitychecks", "complexity_checks_postfix": "complexitychecks_postfix", "complexity_checks_postfix_excludes": "complexitychecks_postfix_excludes"}
+    lists = {k: tuple(own.get(k) or own.get(other.get(k, k)) or ()) for k in ("extensions", "filenames", "shebangs", "line_comment", "keywords", *other)}
+    either = lambda q, a, b: bool(q.get(a) or q.get(b))
+    quotes = tuple(Quote(q["start"], q["end"], either(q, "ignore_escape", "ignoreEscape"), either(q, "doc_string", "docString")) for q in own.get("quotes") or ())
+    found = tuple(Heuristic(h["pattern"], tuple(h.get("literals") or ()), bool(h.get("anchored"))) for h in own.get("heuristics") or ())
+    return Rule(name, multi_line=tuple((a, b) for a, b in own.get("multi_line") or ()), nested_multi_line=either(own, "nested_multi_line", "nestedmultiline"), quotes=quotes, heuristics=found, **lists)
+
+
+def _built_in() -> tuple[Rule, ...]:
+    rows = pkgutil.get_data(__name__, "languages.jsonl").decode().splitlines()
+    return tuple(_rule(own.pop("name"), own) for own in (json.loads(r) for r in rows if r and not r.startswith("#")))
+
+
+BUILT_IN = _built_in()
 UNKNOWN = Rule("Unknown")
 SHEBANG = "#!"
 
@@ -146,12 +76,4 @@ def load(path: str, onto: dict[str, Rule] | None = None) -> dict[str, Rule]:
     """Rules from a JSON file, added to ``onto`` (or alone)."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
-    out = dict(onto or {})
-    snake = lambda k: re.sub(r"(?<=[a-z])(?=[A-Z])", "_", k).lower()
-    for name, own in data.items():
-        own = {snake(k): v for k, v in own.items()}
-        lists = {k: tuple(own.get(k) or ()) for k in ("extensions", "filenames", "shebangs", "line_comment", "complexity_checks", "complexity_checks_postfix", "complexity_checks_postfix_excludes", "keywords")}
-        quotes = tuple(Quote(q["start"], q["end"], bool(q.get("ignoreEscape") or q.get("ignore_escape")), bool(q.get("docString") or q.get("doc_string"))) for q in own.get("quotes") or ())
-        found = tuple(Heuristic(h["pattern"], tuple(h.get("literals") or ()), bool(h.get("anchored"))) for h in own.get("heuristics") or ())
-        out[name] = Rule(name, multi_line=tuple((a, b) for a, b in own.get("multi_line") or ()), nested_multi_line=bool(own.get("nested_multi_line") or own.get("nestedmultiline")), quotes=quotes, heuristics=found, **lists)
-    return out
+    return dict(onto or {}) | {name: _rule(name, own) for name, own in data.items()}

@@ -10,7 +10,7 @@ def test_names():
     assert n.candidates("Makefile")[0] == ["Makefile"]
     assert n.candidates("run") == ([detect.SHEBANG], "run")
     assert n.candidates("a.h")[0] == ["C Header", "C++ Header", "Objective C"]
-    assert n.candidates("x.d.ts") == (["TypeScript"], "ts")
+    assert n.candidates("x.d.ts") == (["TypeScript Typings"], "d.ts")
     assert n.candidates("x.nothing")[0] == []
     assert detect.Names(count_as={"jsp": "html"}).candidates("a.jsp")[0] == ["HTML"]
     assert [detect.extension_of(x) for x in ("a.d.ts", "a.b.c.d", ".gitignore", "A", "a.", ".a.b")] == ["d.ts", "c.d", ".gitignore", "a", "", "a.b"]
@@ -19,15 +19,15 @@ def test_names():
 def test_whole_files(spark):
     rows = [
         ("a.py", "x"), ("b.h", "int a;"), ("c.h", "template <class T>\nclass A {\npublic:\n};"), ("d.h", "@interface A\n@end"), ("e.json", "{}"),
-        ("f.json", '"AWSTemplateFormatVersion" "AWS::S3" "Resources"'), ("run", "#!/usr/bin/env  python3\n"), ("go", "#! /bin/bash -e\n"), ("nope", "text"), ("q.unknown", "x"), ("x.d.ts", "x"), (".gitignore", "*"), ("RAKEFILE", ""),
+        ("f.json", '"AWSTemplateFormatVersion" "AWS::S3" "Fn::Join"'), ("run", "#!/usr/bin/env  python3\n"), ("go", "#! /bin/bash -e\n"), ("nope", "text"), ("q.unknown", "x"), ("x.d.ts", "x"), (".gitignore", "*"), ("RAKEFILE", ""),
     ]
     df = spark.createDataFrame([(f"src/{n}", n, c) for n, c in rows], "location string, filename string, content string")
     got = {r.filename: r.language for r in detect.detect(df, keep_unknown=True).collect()}
-    want = dict(zip([n for n, _ in rows], ["Python", "C Header", "C++ Header", "Objective C", "JSON", "CloudFormation (JSON)", "Python", "BASH", "Unknown", "Unknown", "TypeScript", "gitignore", "Ruby"], strict=True))
+    want = dict(zip([n for n, _ in rows], ["Python", "C Header", "C++ Header", "Objective C", "JSON", "CloudFormation (JSON)", "Python", "BASH", "Unknown", "Unknown", "TypeScript Typings", "gitignore", "Rakefile"], strict=True))
     assert got == want
     assert {r.filename for r in detect.detect(df).collect()} == {n for n, v in want.items() if v != "Unknown"}
     exts = {r.filename: r.extension for r in detect.detect(df).collect()}
-    assert exts["a.py"] == "py" and exts["x.d.ts"] == "ts" and exts["run"] == "run"
+    assert exts["a.py"] == "py" and exts["x.d.ts"] == "d.ts" and exts["run"] == "run"
     one = detect.detect(df, patterns=["re:^src/a:Mine:Python"], remap_all=[("template", "Go")], remap_unknown=[("text", "Plain Text")])
     got = {r.filename: r.language for r in one.collect()}
     assert (got["a.py"], got["c.h"], got["nope"]) == ("Mine", "Go", "Plain Text")
