@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def write(files: DataFrame, o: Options) -> list[tuple[str, str]]:
     """(target, text) for each format asked for; '' is the standard output. Languages are few and come to the driver;
     files are streamed in order of language."""
     began = time.time()
-    files = files.cache() if o.format_multi else files
+    files = files.persist(StorageLevel.DISK_ONLY)  # every part of the output reads the count
     languages = [r.asDict() for r in summary(files, o).collect()]
     unique = rollup.unique_lines(files.withColumn("content", F.col("content").cast("string")), []).first()[0] if o.has("uloc") else None
     pairs = [p.partition(":")[::2] for p in o.format_multi.split(",") if p] or [(o.format, o.output)]
@@ -95,6 +96,7 @@ def write(files: DataFrame, o: Options) -> list[tuple[str, str]]:
     for kind, target in pairs:
         body = render.render(kind, languages, style(o), rows(slim), o.has("by_file"), unique=unique, project=o.sql_project or ",".join(o.paths), now=datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), seconds=time.time() - began)
         out.append(("" if target in ("", "stdout") else target, body))
+    files.unpersist()
     return out
 
 
@@ -154,9 +156,21 @@ class GitHistory:
         return observer.report(self.log, self._with_authors(), self.head)
 
     def author_timeline(self, buckets: int = 60) -> DataFrame:
+        """author (told apart where several have one name), author_key, bucket, commits, delta."""
         delta = history.lines_of_type(F.col("added"), F.col("new_types"), 1) - history.lines_of_type(F.col("removed"), F.col("old_types"), 1)
-        each = self._with_authors().groupBy("seq", "author", "when").agg(F.sum(delta).alias("delta"))
-        return history.dense(history.timeline(each, "author", "when", F.col("delta"), buckets), "author", buckets)
+        each = self._with_authors().groupBy("seq", "author_key", "when").agg(F.sum(delta).alias("delta"))
+        series = history.dense(history.timeline(each, "author_key", "when", F.col("delta"), buckets), "author_key", buckets)
+        who = history.disambiguate(self.log.groupBy("author_key").agg(F.first("author").alias("author"), F.first("email").alias("email")))
+        return series.join(who.select("author_key", F.col("display").alias("author")), "author_key").select("author", "author_key", "bucket", "commits", "delta")
+
+    def bus_factor(self) -> DataFrame:
+        """One row: the fewest authors who have over half of the window's code."""
+        return history.bus_factor(self.authors().where(F.col("author_id") != blame.BEFORE))
+
+    def close(self) -> None:
+        """Frees the tables that are kept."""
+        for df in (self.log, self.changes, self.head):
+            df.unpersist()
 
     def language_timeline(self, buckets: int = 60) -> DataFrame:
         delta = history.lines_of_type(F.col("added"), F.col("new_types"), 1) - history.lines_of_type(F.col("removed"), F.col("old_types"), 1)

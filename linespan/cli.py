@@ -5,12 +5,40 @@ from __future__ import annotations
 import json
 import sys
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from linespan import api, session
+from linespan.plans import blame
+from linespan.plans import history as plans
 from linespan.serve import report, tools
 from linespan.sinks import history as views
 from linespan.sources.config import Options, options
 
 
+def timeline(series: DataFrame, who: str, by: str, kind: str) -> list[dict]:
+    """All timelines for CSV and JSON; for a table the first ones, the others added up."""
+    if kind in ("csv", "json"):
+        return [r.asDict() for r in series.drop("author_key").toLocalIterator()]
+    sums = [c for c in ("commits", "delta", "code") if c in series.columns]
+    return [r.asDict() for r in plans.fold_series(series, who, [F.desc(by)], sums).collect()]
+
+
+def authors(h: api.GitHistory, o: Options) -> str:
+    """All authors for CSV and JSON; as a table the first ones, the others in one row, what was there before the window,
+    and the bus factor."""
+    rows = h.authors()
+    if o.format in ("csv", "json"):
+        return views.table(o.format, "authors", [r.asDict() for r in rows.toLocalIterator()])
+    own = rows.where(F.col("author_id") != blame.BEFORE)
+    sums = ["code", "comment", "complexity", "owns_percent"]
+    first = [r.asDict() for r in own.orderBy(F.desc("code"), "author").limit(plans.LISTED).collect()]
+    others = [r.asDict() for r in plans.fold_tail(own, "author", [F.desc("code"), F.col("author")], sums).where(F.col("author").startswith("others (")).collect()] if len(first) == plans.LISTED else []
+    before = [r.asDict() for r in rows.where((F.col("author_id") == blame.BEFORE) & (F.col("code") + F.col("comment") + F.col("complexity") > 0)).collect()]
+    factor = h.bus_factor().first()[0]
+    return views.table(o.format, "authors", first + others + before) + f"Bus factor: {factor}\n"
+
+
 def history(spark, o: Options) -> str:
     h = api.GitHistory(spark, o.paths[0], o.depth, not o.has("no_fold_authors"), api.rules_of(o))
     if o.coupling_for:
@@ -20,9 +48,9 @@ def history(spark, o: Options) -> str:
     if o.has("hotspots"):
         return views.table(o.format, "hotspots", [r.asDict() for r in h.hotspots().where("score > 0").limit(50).collect()])
     if o.has("by_author") and o.has("timeline"):
-        return views.series(o.format, "author", [r.asDict() for r in h.author_timeline(o.buckets).collect()], o.has("ci"))
+        return views.series(o.format, "author", timeline(h.author_timeline(o.buckets), "author", "commits", o.format), o.has("ci"))
     if o.has("by_author"):
-        return views.table(o.format, "authors", [r.asDict() for r in h.authors().collect()])
+        return authors(h, o)
     return views.series(o.format, "language", [r.asDict() for r in h.language_timeline(o.buckets).collect()], o.has("ci"))
 
 

@@ -17,6 +17,8 @@ from linespan.functions.buckets import bucket, micros
 MIN_SHARED, MAX_FILES = 2, 30
 #: Shares that make the bus factor, authors that a report lists, commits of the default window.
 BUS_PERCENT, LISTED, DEPTH = 50.0, 15, 1000
+#: Entries up to which a mailmap is broadcast.
+BROADCAST_ROWS = 50_000
 #: Names that many people have; they are never folded by their mail domain.
 UNFOLDED = ["", "unknown", "root", "user", "admin", "dev", "developer", "guest", "nobody", "none"]
 
@@ -67,8 +69,9 @@ def resolve_mail(commits: DataFrame, mailmap: DataFrame | None) -> DataFrame:
     if mailmap is None:
         return commits
     m = mailmap.select(F.col("commit_name").alias("_n"), F.lower("commit_email").alias("_e"), F.nullif("proper_name", F.lit("")).alias("_pn"), F.nullif("proper_email", F.lit("")).alias("_pe"))
-    both = F.broadcast(m.where(F.col("_n").isNotNull()).dropDuplicates(["_n", "_e"]))
-    mail = F.broadcast(m.where(F.col("_n").isNull()).dropDuplicates(["_e"]).select(F.col("_e").alias("_e2"), F.col("_pn").alias("_pn2"), F.col("_pe").alias("_pe2"), F.lit(True).alias("_by_mail")))
+    few = F.broadcast if mailmap.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    both = few(m.where(F.col("_n").isNotNull()).dropDuplicates(["_n", "_e"]))
+    mail = few(m.where(F.col("_n").isNull()).dropDuplicates(["_e"]).select(F.col("_e").alias("_e2"), F.col("_pn").alias("_pn2"), F.col("_pe").alias("_pe2"), F.lit(True).alias("_by_mail")))
     out = commits.join(both, (F.col("author") == F.col("_n")) & (F.lower("email") == F.col("_e")), "left").join(mail, F.lower("email") == F.col("_e2"), "left")
     hit = F.col("_n").isNotNull()
     name = F.when(hit, F.coalesce("_pn", "author")).otherwise(F.coalesce("_pn2", "author"))
@@ -216,8 +219,18 @@ def dense(series: DataFrame, who: str, n: int) -> DataFrame:
 
 def trajectory(series: DataFrame, who: str, baseline: DataFrame | None = None) -> DataFrame:
     """``series`` with code: the running sum of delta from the baseline (who, code), never below 0 at any bucket, and
-    what is cut off stays cut off. With S the plain running sum that is S - min(0, least S so far)."""
-    s = series if baseline is None else series.join(baseline.select(F.col(who), F.col("code").alias("_base")), who, "left")
+    what is cut off stays cut off. With S the plain running sum that is S - min(0, least S so far). Names that only the
+    baseline has are there too."""
+    s = series
+    if baseline is not None:
+        start = baseline.groupBy(who).agg(F.sum("code").alias("_base"))
+        # what only the baseline has keeps its lines in all buckets
+        last = series.agg(F.coalesce(F.max("bucket"), F.lit(0)).alias("_last"))  # one row
+        still = start.join(series.select(who).distinct(), who, "left_anti").join(F.broadcast(last))
+        zero = [F.lit(0).cast(series.schema[c].dataType).alias(c) for c in ("commits", "delta") if c in series.columns]
+        names = [who, "bucket", *[c for c in ("commits", "delta") if c in series.columns]]
+        s = series.select(*names).unionByName(still.select(who, F.explode(F.sequence(F.lit(0).cast(series.schema["bucket"].dataType), F.col("_last"))).alias("bucket"), *zero))
+        s = s.join(start, who, "left")
     base = F.lit(0) if baseline is None else F.coalesce("_base", F.lit(0))
     so_far = Window.partitionBy(who).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     summed = s.withColumn("_sum", base + F.sum("delta").over(so_far))
@@ -231,6 +244,17 @@ def fold_tail(rows: DataFrame, name: str, order: list[Column], sums: list[str],
     return ranked.where(F.col("_rank") <= listed).select(F.col(name).cast("string").alias(name), *sums).unionByName(tail.select(F.concat(F.lit("others ("), F.col("_n").cast("string"), F.lit(")")).alias(name), *sums))
 
 
+def fold_series(series: DataFrame, name: str, order: list[Column], sums: list[str], listed: int = LISTED) -> DataFrame:
+    """Timelines of the first ``listed`` names; those of the others are added up, bucket by bucket, as 'others (N)'.
+    ``order`` is over the sums of each name. For results with a row for each name and bucket."""
+    totals = series.groupBy(F.col(name).alias("_name")).agg(*[F.sum(c).alias(c) for c in sums])
+    ranked = totals.select("_name", F.row_number().over(Window.partitionBy().orderBy(*order, "_name")).alias("_rank"))
+    n = ranked.agg((F.count(F.lit(1)) - listed).alias("_others"))  # one row
+    label = F.when(F.col("_rank") <= listed, F.col(name).cast("string")).otherwise(F.concat(F.lit("others ("), F.col("_others").cast("string"), F.lit(")")))
+    told = series.join(ranked, F.col(name).eqNullSafe(F.col("_name"))).join(F.broadcast(n))
+    return told.groupBy(label.alias(name), F.least("_rank", F.lit(listed + 1)).alias("rank"), "bucket").agg(*[F.sum(c).cast("long").alias(c) for c in sums])
+
+
 def disambiguate(authors: DataFrame) -> DataFrame:
     """``authors`` (author, email) with display: names that several have are told apart by the shortest form of their mail
     that does so for all of them: the last two labels of its domain, the domain, or the whole address."""

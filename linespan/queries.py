@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linespan import rules
 from linespan.functions import cost, text
 from linespan.operators import classify, detect, rollup
 from linespan.plans import blame, history
@@ -133,16 +134,12 @@ def minified_flag(spark, d):
     return files(spark, d).select("location", flag(255).alias("at_255"), flag(1921).alias("at_1921"))
 
 
-@query(f"SELECT location, contains(lower(content[1:1000]), 'license') OR contains(lower(content[1:1000]), 'copyright') AS generated FROM {FILES_SQL} WHERE strlen(content) = length(content)")
-def generated_flag(spark, d):
-    """Files of ASCII text, as the SQL has no prefix by bytes."""
-    f = files(spark, d)
-    return f.where(F.octet_length("content") == F.char_length("content")).select("location", "generated")
+_MARKED = " OR ".join(f"(strpos(lower(content), '{m}') > 0 AND strlen(content[1:strpos(lower(content), '{m}') - 1]) + {len(m)} <= 1000)" for m in ("license", "copyright"))
 
 
-@query()
-def generated_flag_all(spark, d):
-    """All files: the prefix is of bytes, whatever the text; tests hold it against the bytes."""
+@query(f"SELECT location, {_MARKED} AS generated FROM {FILES_SQL}")
+def generated_flag(spark, d):
+    """All files; the marker has to end within the first 1000 bytes, whatever the text."""
     return files(spark, d).select("location", "generated")
 
 
@@ -302,6 +299,33 @@ def language_timeline(spark, d):
     return history.trajectory(history.dense(series, "event_type", BUCKETS), "event_type")
 
 
+_START_SQL = "(SELECT event_type, CAST(count(*) AS BIGINT) AS code FROM events WHERE event_type < 'p' GROUP BY 1 UNION ALL SELECT r_name, CAST(r_regionkey * 100 AS BIGINT) FROM region)"
+
+
+@query(f"""WITH t AS (SELECT event_type, CAST({_BUCKET.format(n=BUCKETS)} AS INTEGER) AS bucket, count(*) AS commits, sum(CAST(round(value) AS BIGINT) - 50) AS delta FROM events, {_WINDOW.format(n=BUCKETS)} GROUP BY 1, 2),
+g AS (SELECT event_type, b.bucket FROM (SELECT event_type FROM t UNION SELECT event_type FROM {_START_SQL}), (SELECT CAST(unnest(range({BUCKETS})) AS INTEGER) AS bucket) b),
+f AS (SELECT g.event_type, g.bucket, coalesce(commits, 0) AS commits, CAST(coalesce(delta, 0) AS BIGINT) AS delta, coalesce(code, 0) AS start FROM g LEFT JOIN t USING (event_type, bucket) LEFT JOIN {_START_SQL} USING (event_type)),
+s AS (SELECT *, start + sum(delta) OVER (PARTITION BY event_type ORDER BY bucket) AS total FROM f)
+SELECT event_type, bucket, commits, delta, CAST(total - least(0, min(total) OVER (PARTITION BY event_type ORDER BY bucket)) AS BIGINT) AS code FROM s""")
+def language_timeline_baseline(spark, d):
+    """Kinds of events with lines from before the window; regions have only those."""
+    events = load(spark, d, "events")
+    series = history.dense(history.timeline(events, "event_type", "ts", F.round("value").cast("long") - 50, BUCKETS), "event_type", BUCKETS)
+    before = events.where("event_type < 'p'").groupBy("event_type").agg(F.count(F.lit(1)).alias("code"))
+    only = load(spark, d, "region").select(F.col("r_name").alias("event_type"), (F.col("r_regionkey") * 100).cast("long").alias("code"))
+    return history.trajectory(series, "event_type", before.unionByName(only))
+
+
+@query(f"""WITH t AS (SELECT user_id, CAST({_BUCKET.format(n=BUCKETS)} AS INTEGER) AS bucket, count(*) AS commits, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS delta FROM events, {_WINDOW.format(n=BUCKETS)} GROUP BY 1, 2),
+r AS (SELECT user_id, row_number() OVER (ORDER BY sum(commits) DESC, user_id) AS n FROM t GROUP BY 1)
+SELECT CASE WHEN n <= 15 THEN CAST(user_id AS VARCHAR) ELSE 'others (' || CAST((SELECT count(*) FROM r) - 15 AS VARCHAR) || ')' END AS user_id, CAST(least(n, 16) AS INTEGER) AS rank, bucket,
+CAST(sum(commits) AS BIGINT) AS commits, CAST(sum(delta) AS BIGINT) AS delta FROM t JOIN r USING (user_id) GROUP BY 1, 2, 3""")
+def author_timeline_folded(spark, d):
+    """The fifteen busiest and the others together: the report's length."""
+    series = history.timeline(load(spark, d, "events"), "user_id", "ts", F.round("value").cast("long"), BUCKETS)
+    return history.fold_series(series, "user_id", [F.desc("commits")], ["commits", "delta"])
+
+
 def _owned(spark, d):
     """Quantities of parts by supplier as lines that an author touched last."""
     q = F.col("l_quantity").cast("long")
@@ -368,11 +392,18 @@ def pages_html_counts(spark, d):
     return classify.count_files(pages).drop("content")
 
 
-@query()
+_NAMES = ("a.txt", "b.html", "Makefile", "d.json", "run", ".gitignore", "x.d.ts", "q.of-no-language")
+_KEYWORDS = " + ".join(f"CAST(contains(text, '{k}') AS INTEGER)" for k in dict.fromkeys(rules.table()["CloudFormation (JSON)"].keywords))
+
+
+@query(f"""SELECT doc_id, source || '/' || name AS location, CASE WHEN name LIKE '%.d.ts' THEN 'd.ts' WHEN name LIKE 'q.%' THEN 'of-no-language' WHEN name LIKE '_.%' THEN split_part(name, '.', 2) ELSE name END AS extension,
+CASE name WHEN 'a.txt' THEN 'Plain Text' WHEN 'b.html' THEN 'HTML' WHEN 'd.json' THEN CASE WHEN {_KEYWORDS} >= 3 THEN 'CloudFormation (JSON)' ELSE 'JSON' END WHEN 'run' THEN 'Python'
+WHEN '.gitignore' THEN 'gitignore' WHEN 'x.d.ts' THEN 'TypeScript Typings' WHEN 'Makefile' THEN 'Makefile' ELSE 'Unknown' END AS language
+FROM (SELECT *, {list(_NAMES)}[CAST(doc_id % {len(_NAMES)} AS INTEGER) + 1] AS name FROM documents)""")
 def detect_language(spark, d):
     """Documents under invented names, told apart by name, first line and content."""
-    names = F.array(*[F.lit(x) for x in ("a.txt", "b.html", "c.h", "d.json", "run", ".gitignore", "x.d.ts")])
-    docs = load(spark, d, "documents").select(F.col("doc_id"), F.concat_ws("/", "source", F.get(names, (F.col("doc_id") % 7).cast("int"))).alias("location"), F.get(names, (F.col("doc_id") % 7).cast("int")).alias("filename"), F.concat(F.lit("#!/usr/bin/env python3\n"), "text").alias("content"))
+    name = F.get(F.array(*[F.lit(x) for x in _NAMES]), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    docs = load(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", name).alias("location"), name.alias("filename"), F.concat(F.lit("#!/usr/bin/env python3\n"), "text").alias("content"))
     return detect.detect(docs, keep_unknown=True).select("doc_id", "location", "extension", "language")
 
 

@@ -127,3 +127,17 @@ def test_display_names(spark):
     got = {(r.author, r.email): r.display for r in history.disambiguate(df).collect()}
     assert got["A", "a@x.org"] == "A (x.org)" and got["B", "b@p.x.org"] == "B (p.x.org)" and got["C", "d@x.org"] == "C (d@x.org)" and got["D", None] == "D"
     assert len(got) == len(rows)
+
+
+def test_names_of_the_baseline_alone_stay(spark):
+    series = history.dense(spark.createDataFrame([("Go", 1, 2, 5)], "language string, bucket int, commits long, delta long"), "language", 3)
+    start = spark.createDataFrame([("Go", 10), ("C", 7), ("C", 1)], "language string, code bigint")
+    got = sorted(tuple(r) for r in history.trajectory(series, "language", start).select("language", "bucket", "commits", "code").collect())
+    assert got == [("C", 0, 0, 8), ("C", 1, 0, 8), ("C", 2, 0, 8), ("Go", 0, 0, 10), ("Go", 1, 2, 15), ("Go", 2, 0, 15)]
+    assert history.trajectory(series.limit(0), "language", start).select("language", "code").distinct().count() == 2
+
+
+def test_fold_series(spark):
+    rows = [(f"a{i:02}", b, i if b else 1, b) for i in range(20) for b in range(2)]
+    got = {(r.who, r.bucket): (r.commits, r.delta, r["rank"]) for r in history.fold_series(spark.createDataFrame(rows, "who string, bucket int, commits long, delta long"), "who", [F.desc("commits")], ["commits", "delta"]).collect()}
+    assert len(got) == 32 and got["a19", 1] == (19, 1, 1) and got["others (5)", 0] == (5, 0, 16) and got["others (5)", 1] == (10, 5, 16)
