@@ -85,3 +85,20 @@ def render(segments: DataFrame) -> DataFrame:
     whole = segments.groupBy("conv_id", "perspective").agg(pieces.alias("pieces"))
     spans = F.transform(F.filter("pieces", lambda p: p["mask"] == 1), lambda p: F.struct((p["start"] + p["skip"]).alias("start"), p["end"].alias("end")))
     return whole.select("conv_id", "perspective", F.array_join(F.transform("pieces", lambda p: p["segment"]), "").alias("text"), spans.alias("spans"))
+
+
+#: What ``rotate`` returns where no two turns of a conversation share a number.
+ROTATE_SQL = r"""
+WITH own AS (SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') AS body FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM own WHERE speaker <> 'system'),
+segments AS (
+  SELECT own.conv_id, perspective, CAST(turn AS BIGINT) AS turn, speaker,
+         CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS as_role,
+         CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
+              ELSE '<|user name=' || replace(replace(speaker, '<|', '<\|'), '|>', '|\>') || '|>' END || chr(10) AS head,
+         body, '<|end|>' || chr(10) AS tail, CAST(speaker = perspective AS INTEGER) AS mask
+  FROM own JOIN speakers ON own.conv_id IS NOT DISTINCT FROM speakers.conv_id),
+placed AS (
+  SELECT *, CAST(sum(length(head) + length(body) + length(tail)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST) AS BIGINT) AS "end" FROM segments)
+SELECT *, "end" - length(head) - length(body) - length(tail) AS "start" FROM placed
+"""

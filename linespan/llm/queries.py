@@ -63,4 +63,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_perspectives": op9_perspectives,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.REPORT_SQL, "op9_perspectives": chat.ROTATE_SQL}
