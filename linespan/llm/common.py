@@ -54,12 +54,25 @@ def drop_written(path_of: DataFrame | None = None) -> None:
         if names is not None and not any(n.endswith(path.split("://")[-1]) for n in names):
             continue
         _WRITTEN.remove(item)
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may have ended; these are scratch files
-            pass
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may have ended; these are scratch files
+        pass
+
+
+def settle(make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """What ``make`` returns, materialised; then all that was written on the way to it is deleted."""
+    before = len(_WRITTEN)
+    out = materialise(make(), what)
+    for spark, path in _WRITTEN[before:-1]:
+        _WRITTEN.remove((spark, path))
+        _delete(spark, path)
+    return out
 
 
 atexit.register(drop_written)

@@ -1,3 +1,5 @@
+import os
+import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -5,12 +7,19 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from linespan.llm import bpe, langid, simhash
+from linespan.llm.common import shared_dir
 from linespan.llm.queries import ORACLE_SQL, QUERIES
 from test_text_operators import dedup_plainly, mix_plainly, print_of, sha
 
 NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def shingled(text):
+    """The set of five-word shingles by definition; the whole text if it is shorter."""
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def chain(spark, docs, to):
     """What each stage gives, written and read again in between."""
     out = [docs]
@@ -33,16 +42,18 @@ def test_stages_against_plain_versions(spark, docs, tmp_path):
     assert {r.doc_id: sha(r.text) for r in lines.collect()} == want
     assert all(r.n_chars == len(r.text) for r in lines.collect())
     # 3: the first of each group stays
-    rows = sorted((r.doc_id, print_of(r.text)) for r in lines.collect())
-    group = {i: i for i, _ in rows}
+    rows = sorted((r.doc_id, print_of(r.text), shingled(r.text)) for r in lines.collect())
+    near_by = lambda a, b: (a[1] ^ b[1]).bit_count() <= 3 or (len(a[2] & b[2]) / len(a[2] | b[2]) >= 0.8 if a[2] and b[2] else False)
+    pairs = [(a[0], b[0]) for k, a in enumerate(rows) for b in rows[:k] if near_by(a, b)]
+    group = {i: i for i, _, _ in rows}
     changed = True
     while changed:
         changed = False
-        for i, a in rows:
-            for j, b in rows:
-                if group[j] < group[i] and bin(a ^ b).count("1") <= 3:
-                    group[i], changed = group[j], True
-    assert {r.doc_id for r in near.collect()} == set(group.values())
+        for i, j in pairs:
+            if group[i] != group[j]:
+                group[i] = group[j] = min(group[i], group[j])
+                changed = True
+    assert {r.doc_id for r in near.collect()} == set(group.values()) and near.count() == len(set(group.values()))
     # 4: sources are read as often as their weights say
     rows = [(r.doc_id, r.text, r.source) for r in near.collect()]
     epochs, total = mix_plainly(rows)
@@ -60,6 +71,23 @@ def test_stages_against_plain_versions(spark, docs, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids), r.decoded_sha256) for r in encoded.collect()) == want
 
 
+def test_run_is_the_stages_one_after_the_other(spark, docs, tmp_path):
+    encoded = chain(spark, docs, tmp_path)[-1]
+    plain = lambda df: Counter((r.doc_id, r.source, r.lang, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in df.collect())
+    scratch = shared_dir(spark)
+    before = set(os.listdir(scratch))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert plain(out) == plain(encoded)
+    left = set(os.listdir(scratch)) - before
+    assert [x.rsplit("-", 1)[0] for x in left] == ["stage-mixing-sources"]
+
+
+def test_repeated_ids_keep_their_different_texts(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "en", "b", 1), (1, "alpha beta gamma delta epsilon zeta", "en", "a", 1), (1, "eins zwei drei vier fünf sechs sieben", "de", "a", 2), (2, "Alpha beta gamma delta epsilon zeta", "en", "a", 1), (None, "x", "en", "a", 1), (1, None, None, None, None)]
+    out = corpus_pipeline.dedup_near(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), None)
+    assert Counter(tuple(r) for r in out.collect()) == Counter([rows[1], rows[2], rows[4], rows[5]])
+
+
 def test_odd_rows_go_through(spark, odd, none, tmp_path):
     # stage 1 keeps all rows that have letters
     out = chain(spark, odd.select(*NAMES), tmp_path / "odd")
