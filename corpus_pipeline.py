@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linespan.llm import bpe, langid, line_dedup, mixing, shingles, simhash
-from linespan.llm.common import load, materialise
+from linespan.llm.common import drop_written, load, settle
 
 #: Documents whose mean probability of the predicted language is lower than this are rejected, like those without one.
 #: It is hardly more than chance among four languages: short texts that are mostly numbers and addresses are above it. Among
@@ -40,12 +40,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near-duplicates: texts whose sets of five-word shingles have a
-    Jaccard index of 0.8 or more, or whose fingerprints differ in at most three bits. Of rows that repeat a doc_id one stays; rows
-    without a doc_id stay, as they can't be told apart."""
+    Jaccard index of 0.8 or more, or whose fingerprints differ in at most three bits. Rows that repeat a doc_id are one
+    document: of its rows with equal texts one stays, the least by the other columns. Rows without a doc_id stay, as they
+    can't be told apart."""
     near = simhash.near_duplicates(docs, shingles.alike(docs))
     first = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    kept = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    text = F.col("text")
+    one = kept.groupBy("doc_id", text.isNull(), F.xxhash64(text), F.xxhash64(F.lit("second"), text)).agg(F.min(F.struct(*rest, "text")).alias("_row"))
+    return one.select("doc_id", "_row.*").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,5 +79,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        before, docs = docs, settle(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        drop_written(before)  # what the next stage reads is written
     return STAGES[-1][1](spark, docs, sf_dir)
