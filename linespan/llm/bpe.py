@@ -40,8 +40,8 @@ WINDOW, OPENED = 32, 4
 #: Characters of texts that are encoded at once, and how far beyond its end the pattern may look to find a match.
 SLICE, AHEAD = 1_000_000, 64
 #: A Python worker remembers so many words and bytes of words, then starts anew; and so many pairs of tokens.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 8_000_000
-MEMORY = "128MB"
+REMEMBERED, REMEMBERED_BYTES = 200_000, 6_000_000
+MEMORY = "96MB"
 
 _ENCODE = """
 WITH RECURSIVE words AS (

@@ -78,7 +78,7 @@ def settle(make: Callable[[], DataFrame], what: str) -> DataFrame:
 atexit.register(drop_written)
 
 
-def small_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Arrow batches to Python workers end at so many bytes, not only after 10 000 rows: rows may be long texts. A
     smaller limit of the session stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

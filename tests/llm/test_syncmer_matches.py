@@ -1,3 +1,9 @@
+import hashlib
+import re
+from collections import Counter
+
+import xxhash
+
 from linespan.llm import syncmers
 
 SCHEMA = "doc_id bigint, text string"
@@ -29,3 +35,45 @@ def test_all_anchors_are_matched(spark, docs):
     for r in out:
         for kind, got, near in (("edited", r.match_edited, r.near_edited), ("next", r.match_next, r.near_next)):
             assert ([tuple(x) for x in got], near) == matched(anchors[r.doc_id, "own"], anchors[r.doc_id, kind])
+
+
+def mixed(values, seed=42):
+    """Longs hashed one after the other."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed & (1 << 64) - 1)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def syncmers_plainly(text):
+    """(position, hash) of the closed syncmers: windows of five words whose least pair of neighbours is the first or last."""
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    words = [w - (1 << 64) if w >> 63 else w for w in words]
+    out = []
+    for i in range(len(words) - 4):
+        pairs = [mixed(words[j : j + 2]) for j in range(i, i + 4)]
+        if min(pairs) in (pairs[0], pairs[3]):
+            out.append((i, mixed(words[i : i + 5])))
+    return out or [(0, mixed(words))]
+
+
+def print_plainly(text):
+    least = sorted({(k & (1 << 64) - 1) >> 32 for _, k in syncmers_plainly(text)})[: syncmers.SKETCH]
+    return "".join(f"{x:08x}" for x in least)
+
+
+def test_report_against_plain_python(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(-5, None), (-6, ""), (-7, "one two"), (-7, "漢字" * 40), (-9, "a b c d e"), (None, "no id at all here now"), (-8, " \t\n")]
+    text = [(i, t or "") for i, t in rows]
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    text.sort(key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), r[1]))
+    want = Counter()
+    for (i, own), (_, after) in zip(text, text[1:] + text[:1], strict=True):
+        k = len(own) // 3
+        edited = own[: len(own) - k] + after[:k]
+        likeness = []
+        for other in (edited, after):
+            a, b = ({h for _, h in syncmers_plainly(t)} for t in (own, other))
+            likeness.append(len(a & b) / len(a | b))
+        want[i, len(own), hashlib.sha256(edited.encode()).hexdigest(), print_plainly(own), print_plainly(edited), *likeness] += 1
+    out = syncmers.fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert Counter(tuple(r) for r in out.collect()) == want
