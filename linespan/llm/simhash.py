@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linespan.llm.common import materialise, partitions, small_batches
@@ -59,9 +60,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-#: Bits that may differ; blocks of bits of which one is then equal in both.
+#: Bits that may differ, and the least number of blocks that a fingerprint is cut into: one more than may differ.
 BUDGET, BLOCKS = 3, 4
-BLOCK = BITS // BLOCKS
 #: Fingerprints a group holds about, and at which a single block value is split.
 GROUP, HOT = 20_000, 4_096
 #: Pairs of trie nodes that are followed at once; leaves a node pair may still have to be compared one by one.
@@ -139,38 +139,73 @@ def trie_join(codes: np.ndarray, exact: int, budget: int = BUDGET) -> np.ndarray
     return forest.root
 
 
-def _join_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of a group: each document id with the first one of what it is linked with here."""
-    block = np.uint64(pdf["block"].iloc[0] * BLOCK) if len(pdf) else np.uint64(0)
-    fp = pdf.fp.to_numpy().view(np.uint64)
-    turned = (fp << block) | (fp >> ((np.uint64(BITS) - block) % np.uint64(BITS))) if block else fp
-    codes, first = np.unique(turned, return_index=True)
-    rep = pdf.rep.to_numpy()[first]
-    root = trie_join(codes, BLOCK)
-    linked = root != np.arange(len(codes))
-    return pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]})
+def tables(blocks: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each choice of all but ``BUDGET`` of so many blocks, all blocks as (lowest bit, bits) with the chosen first, and
+    how many bits those have. Fingerprints within the budget agree in all of some choice."""
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    cut = [(low, high - low) for low, high in zip(cuts, cuts[1:], strict=False)][::-1]
+    chosen = combinations(range(blocks), blocks - BUDGET)
+    return [([cut[i] for i in own] + [cut[i] for i in range(blocks) if i not in own], sum(cut[i][1] for i in own)) for own in chosen]
 
 
-def links(classes: DataFrame) -> DataFrame:
+def blocks_for(n: int) -> int:
+    """The fewest blocks that leave about ``HOT`` of n fingerprints, if they are spread, for each value of a choice."""
+    blocks = BLOCKS
+    while blocks < 8 and n > HOT << min(bits for _, bits in tables(blocks)):
+        blocks += 1
+    return blocks
+
+
+def arranged(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their blocks in another order, the first highest."""
+    out = np.zeros(len(fp), np.uint64)
+    for low, bits in order:
+        out = (out << np.uint64(bits)) | ((fp >> np.uint64(low)) & np.uint64((1 << bits) - 1))
+    return out
+
+
+def _join_group(blocks: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order, exact = tables(blocks)[int(pdf["choice"].iloc[0])]
+        codes, first = np.unique(arranged(pdf.fp.to_numpy().view(np.uint64), order), return_index=True)
+        rep = pdf.rep.to_numpy()[first]
+        root = trie_join(codes, exact)
+        linked = root != np.arange(len(codes))
+        return pd.DataFrame({"a": rep[linked], "b": rep[root[linked]]})
+
+    return run
+
+
+def links(classes: DataFrame, blocks: int | None = None) -> DataFrame:
     """(a, b): links between the representatives of (fp, rep) that join all whose fingerprints differ in at most
     ``BUDGET`` bits, over other links where not directly.
 
-    Of ``BLOCKS`` blocks of bits at least one is equal in such a pair, so each fingerprint goes to ``BLOCKS`` tries,
-    turned so that the block comes first. Tries are cut by the block's value into groups; a value that very many
-    fingerprints share is cut into chunks, and each pair of chunks is a group.
+    Fingerprints are cut into ``blocks``, more of them the more there are; all but ``BUDGET`` blocks are equal in such a
+    pair, so each fingerprint goes to a trie for every choice of these, with its bits in that order. Tries are cut by
+    the value of the choice into groups; a value that very many fingerprints share is cut into chunks, and each pair of
+    chunks is a group.
     """
     spark = classes.sparkSession
     n = classes.count()
-    turns = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", BITS - BLOCK * (i + 1)).bitwiseAND((1 << BLOCK) - 1).alias("value")) for i in range(BLOCKS)])).alias("t")
-    rows = classes.where(F.col("rep").isNotNull()).select("fp", "rep", turns).select("fp", "rep", "t.block", "t.value")
-    hot = rows.groupBy("block", "value").count().where(F.col("count") > HOT).select("block", "value", F.ceil(F.col("count") / HOT).cast("int").alias("chunks"))
-    dealt = rows.join(hot, ["block", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    blocks = blocks or blocks_for(n)
+
+    def value(order: list[tuple[int, int]], exact: int) -> Column:
+        out, bits = F.lit(0).cast("long"), 0
+        for low, width in order:
+            if bits < exact:
+                out, bits = F.shiftleft(out, width).bitwiseOR(F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1)), bits + width
+        return out
+
+    turns = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), value(*t).alias("value")) for i, t in enumerate(tables(blocks))])).alias("t")
+    rows = classes.where(F.col("rep").isNotNull()).select("fp", "rep", turns).select("fp", "rep", "t.choice", "t.value")
+    hot = rows.groupBy("choice", "value").count().where(F.col("count") > HOT).select("choice", "value", F.ceil(F.col("count") / HOT).cast("int").alias("chunks"))
+    dealt = rows.join(hot, ["choice", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     groups = max(partitions(spark), -(-n // GROUP))
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.select("fp", "rep", "block", "value", "chunks", chunk.alias("i"), other.alias("j"))
-    key = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("block", "value"), F.lit(groups))).otherwise(F.xxhash64("block", "value", F.least("i", "j"), F.greatest("i", "j")))
-    return dealt.select("block", key.alias("key"), "fp", "rep").groupBy("block", "key").applyInPandas(_join_group, "a bigint, b bigint")
+    dealt = dealt.select("fp", "rep", "choice", "value", "chunks", chunk.alias("i"), other.alias("j"))
+    key = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("choice", "value"), F.lit(groups))).otherwise(F.xxhash64("choice", "value", F.least("i", "j"), F.greatest("i", "j")))
+    return dealt.select("choice", key.alias("key"), "fp", "rep").groupBy("choice", "key").applyInPandas(_join_group(blocks), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, also: DataFrame | None = None) -> DataFrame:

@@ -112,6 +112,54 @@ def test_toxicity_reads_whole_texts(monkeypatch):
     assert np.allclose([reader.scores([t])[0] for t in (text, "w1", text)], whole, atol=1e-6)
 
 
+def test_toxicity_scores_against_plain_loops():
+    """Every window of every filter, one after the other; behind the last word stand zeros."""
+    m = toxicity.train(_made())
+    texts = ["", "grumpf", "w1 w2", "unknown words only here", *[t for t, _, _ in _made(40, seed=5)]]
+    want = []
+    for t in texts:
+        words = [m.table[toxicity.rows_of(w)].sum(0) for w in t.lower().split()]
+        logit = float(m.out_bias[0])
+        for i, f in enumerate(m.filters):
+            for k in range(toxicity.FILTERS):
+                values = [sum(float(words[at + j] @ f[j, :, k]) for j in range(len(f)) if at + j < len(words)) for at in range(max(1, len(words)))]
+                logit += max(0.0, max(values) + float(m.bias[i * toxicity.FILTERS + k])) * float(m.out[i * toxicity.FILTERS + k])
+        want.append(1 / (1 + np.exp(-np.clip(logit - m.shift + np.log(0.3 / 0.7), -40, 40))))
+    assert np.allclose(toxicity.Reader(m).scores(texts), want, atol=1e-4)
+
+
+def test_toxicity_gradients():
+    """Against differences of the loss, in doubles."""
+    rng = np.random.default_rng(2)
+    words = toxicity.Words()
+    docs = [words.of(t.split()) for t in ("a bb grumpfen c", "snarl a", "c c bb dddddd eeeeeee", "")]
+    rows = np.array(words.rows)
+    m = toxicity.Model(rng.normal(size=(toxicity.BUCKETS, toxicity.DIM)), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS), rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS) / 9, np.zeros(1))
+    m.table[0] = 0
+    laid, truth, weight = toxicity._lay_out(docs), np.array([1.0, 0.0, 1.0, 0.0]), np.array([0.7, 1.3, 1.0, 0.5])
+    _, grads, used = toxicity._gradients(m, rows, *laid, truth, weight)
+    params = {"out": m.out, "out_bias": m.out_bias, "bias": m.bias} | {f"f{i}": f for i, f in enumerate(m.filters)}
+    tried = [(params[n], i, grads[n][i]) for n in params for i in [tuple(rng.integers(0, params[n].shape)) for _ in range(6)]]
+    tried += [(m.table, (used[r], c), grads["table"][r, c]) for r in rng.integers(1 if used[0] == 0 else 0, len(used), 12) for c in rng.integers(0, toxicity.DIM, 2)]
+    for array, at, got in tried:
+        was, losses = array[at], []
+        for step in (1e-5, -1e-5):
+            array[at] = was + step
+            losses.append(toxicity._gradients(m, rows, *laid, truth, weight)[0])
+        array[at] = was
+        assert abs((losses[0] - losses[1]) / 2e-5 - got) < 1e-5
+    assert any(abs(g) > 1e-4 for _, _, g in tried)
+
+
+def test_toxicity_finds_the_held_out(spark):
+    """On the driver's documents, in the fold that nothing is learned from."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    out = toxicity.toxicity_report(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("predicted", "toxic").collect()
+    assert len(out) > 500 and np.mean([r.predicted == r.toxic for r in out]) > 0.97
+    assert np.mean([r.predicted for r in out if r.toxic]) > 0.95
+
+
 def test_toxicity_odd_rows(spark, odd, none, labels):
     out = toxicity.toxicity_report(odd, labels).collect()
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in odd.collect())

@@ -268,14 +268,16 @@ def test_trie_join(n, exact):
     assert list(simhash.trie_join(codes, exact)) == joined(len(codes), links)
 
 
-def test_hot_blocks_are_split_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [None, 5, 6])
+def test_hot_blocks_are_split_without_loss(spark, monkeypatch, blocks):
+    assert [simhash.blocks_for(n) for n in (0, 10**8, 10**10, 10**12)] == [4, 4, 5, 6]
     monkeypatch.setattr(simhash, "HOT", 8)
-    codes = [x for x in range(64)] + [x << 40 for x in range(1, 40)]
+    codes = [x for x in range(64)] + [x << 40 for x in range(1, 40)] + [-1 << k for k in range(1, 64, 7)] + [(-1 << k) ^ 0x8100 for k in range(20, 64, 5)]
     classes = spark.createDataFrame([(c, i) for i, c in enumerate(codes)], "fp bigint, rep bigint")
     from linespan.llm.components import components
 
-    got = {r.node: r.component for r in components(simhash.links(classes)).collect()}
-    want = joined(len(codes), [(i, j) for i in range(len(codes)) for j in range(i) if bin(codes[i] ^ codes[j]).count("1") <= 3])
+    got = {r.node: r.component for r in components(simhash.links(classes, blocks)).collect()}
+    want = joined(len(codes), [(i, j) for i in range(len(codes)) for j in range(i) if bin((codes[i] ^ codes[j]) & (1 << 64) - 1).count("1") <= 3])
     assert [got.get(i, i) for i in range(len(codes))] == want
 
 
