@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linespan.functions import text
+from linespan.functions.cost import Locomo
 from linespan.operators import classify, detect, rollup
 from linespan.plans import blame, history
 from linespan.rules import BUILT_IN, UNKNOWN, Rule, load, table
@@ -20,6 +22,8 @@ from linespan.sources import git
 from linespan.sources.config import Options
 from linespan.sources.ignore import ignored
 
+log = logging.getLogger("linespan")
+
 
 def rules_of(o: Options) -> dict[str, Rule]:
     """Built-in rules, those of a file, and categories made by patterns, which count like their base."""
@@ -75,7 +79,7 @@ def summary(files: DataFrame, o: Options) -> DataFrame:
 
 
 def style(o: Options) -> render.Style:
-    return render.Style(not o.has("no_complexity"), o.has("cognitive"), o.has("percent"), o.has("uloc"), o.has("dryness"), o.has("character"), o.has("ci"), not o.has("no_hborder"), not o.has("no_cocomo"), not o.has("no_size"), o.has("locomo"), o.size_unit, o.avg_wage, o.overhead, o.eaf, o.cocomo_project_type, o.locomo_preset, o.currency_symbol, o.has("sloccount_format"), title=o.report_title)
+    return render.Style(not o.has("no_complexity"), o.has("cognitive"), o.has("percent"), o.has("uloc"), o.has("dryness"), o.has("character"), o.has("ci"), not o.has("no_hborder"), not o.has("no_cocomo"), not o.has("no_size"), o.has("locomo"), o.size_unit, o.avg_wage, o.overhead, o.eaf, o.cocomo_project_type, o.locomo_preset, o.currency_symbol, o.has("sloccount_format"), title=o.report_title, model=Locomo.of(o.locomo_preset, o.locomo_input_price, o.locomo_output_price, o.locomo_tps, o.locomo_cycles, o.locomo_review, o.locomo_config))
 
 
 def rows(df: DataFrame) -> Iterator[dict]:
@@ -83,21 +87,27 @@ def rows(df: DataFrame) -> Iterator[dict]:
     return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
-def write(files: DataFrame, o: Options) -> list[tuple[str, str]]:
-    """(target, text) for each format asked for; '' is the standard output. Languages are few and come to the driver;
-    files are streamed in order of language."""
+def outputs(files: DataFrame, o: Options) -> Iterator[tuple[str, Iterator[str]]]:
+    """(target, pieces of text) for each format asked for; '' is the standard output. Languages are few and come to the
+    driver; files are streamed in order of language, one partition after the other."""
     began = time.time()
     files = files.persist(StorageLevel.DISK_ONLY)  # every part of the output reads the count
     languages = [r.asDict() for r in summary(files, o).collect()]
+    log.debug("%d languages in %.2f s", len(languages), time.time() - began)
     unique = rollup.unique_lines(files.withColumn("content", F.col("content").cast("string")), []).first()[0] if o.has("uloc") else None
     pairs = [p.partition(":")[::2] for p in o.format_multi.split(",") if p] or [(o.format, o.output)]
     slim = rollup.sort_files(files.drop("content", "content_hash"), o.sort if o.sort not in ("files", "count") else "lines")
-    out = []
     for kind, target in pairs:
-        body = render.render(kind, languages, style(o), rows(slim), o.has("by_file"), unique=unique, project=o.sql_project or ",".join(o.paths), now=datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), seconds=time.time() - began)
-        out.append(("" if target in ("", "stdout") else target, body))
+        log.debug("format %s to %s", kind, target or "the standard output")
+        more = {"unique": unique, "project": o.sql_project or ",".join(o.paths), "now": datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), "seconds": time.time() - began}
+        yield "" if target in ("", "stdout") else target, render.parts(kind, languages, style(o), rows(slim), o.has("by_file"), **more)
     files.unpersist()
-    return out
+    log.debug("done in %.2f s", time.time() - began)
+
+
+def write(files: DataFrame, o: Options) -> list[tuple[str, str]]:
+    """``outputs`` as whole texts."""
+    return [(target, "".join(pieces)) for target, pieces in outputs(files, o)]
 
 
 class GitHistory:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import sys
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from linespan.plans import blame
 from linespan.plans import history as plans
 from linespan.serve import report, tools
 from linespan.sinks import history as views
-from linespan.sources.config import Options, options
+from linespan.sources.config import Options, completion, options
 
 
 def timeline(series: DataFrame, who: str, by: str, kind: str) -> list[dict]:
@@ -60,6 +61,16 @@ def main(argv: list[str]) -> int:
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
+    if o.completion:
+        try:
+            print(completion(o.completion), end="")
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 1
+        return 0
+    level = logging.DEBUG if o.has("trace", "debug") else logging.INFO if o.has("verbose") else logging.WARNING
+    logging.basicConfig(level=logging.WARNING, stream=sys.stderr, format="%(asctime)s %(levelname)s %(message)s")
+    logging.getLogger("linespan").setLevel(level)
     if o.has("languages"):
         for name, r in sorted(api.rules_of(o).items(), key=lambda x: x[0].lower()):
             print(f"{name} ({','.join((*r.extensions, *r.filenames))})")
@@ -69,18 +80,21 @@ def main(argv: list[str]) -> int:
         if o.has("mcp"):
             return tools.serve(spark, sys.stdin, sys.stdout)
         if o.report:
-            out = [(o.report, report.page(report.collect(spark, o), o))]
+            out = [(o.report, iter([report.page(report.collect(spark, o), o)]))]
         elif o.has("hotspots", "coupling", "coupling_weighted", "by_author", "timeline") or o.coupling_for:
-            out = [(o.output, history(spark, o))]
+            out = [(o.output, iter([history(spark, o)]))]
         else:
-            out = api.write(api.count(spark, o), o)
-        for target, body in out:
+            out = api.outputs(api.count(spark, o), o)
+        for target, pieces in out:
             if target:
                 with open(target, "w", encoding="utf-8") as f:
-                    f.write(body)
+                    f.writelines(pieces)
                 print(f"results written to {target}")
             else:
-                print(body, end="" if body.endswith("\n") else "\n")
+                last = ""
+                for last in pieces:
+                    sys.stdout.write(last)
+                print("", end="" if last.endswith("\n") else "\n")
     except (OSError, ValueError) as e:
         print(json.dumps({"error": str(e)}), file=sys.stderr)
         return 1

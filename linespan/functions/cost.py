@@ -70,9 +70,30 @@ class Locomo:
     iterations: float = 1.5
     iteration_complexity: float = 2.0
 
+    @classmethod
+    def of(cls, preset: str = "medium", in_price: float = 0, out_price: float = 0, tps: float = 0, cycles: float = 0, review: float = 0.01, config: str = "") -> Locomo:
+        """From options, 0 being none; ``config`` is 'tokens_out,tokens_in,complexity,iterations,iteration_complexity',
+        and what is no number in it keeps its default."""
+        names = ("tokens_out", "tokens_in", "complexity", "iterations", "iteration_complexity")
+        own = {}
+        for name, part in zip(names, config.split(","), strict=False) if config.count(",") == len(names) - 1 else ():
+            try:
+                own[name] = float(part)
+            except ValueError:
+                continue
+        return cls(preset.lower(), in_price or None, out_price or None, tps or None, cycles or None, review, **own)
+
     def _price(self, i: int, own: float | None) -> float:
         return LOCOMO.get(self.preset, LOCOMO["medium"])[i] if own is None else own
 
+    def figures(self, code: int, complexity: int) -> dict[str, float]:
+        """``estimate`` for one sum."""
+        root = (complexity / code) ** 0.5 if code else 0.0
+        context, cycles = 1 + root * self.complexity, self.iterations + root * self.iteration_complexity if self.cycles is None else self.cycles
+        out, into, speed = code * self.tokens_out * cycles, code * self.tokens_in * context * cycles, self._price(2, self.tps)
+        cost = into / 1e6 * self._price(0, self.in_price) + out / 1e6 * self._price(1, self.out_price)
+        return {"cost": cost, "input_tokens": into, "output_tokens": out, "seconds": out / speed if speed else 0.0, "review_hours": code * self.review / 60, "preset": self.preset, "multiplier": context * cycles, "cycles": cycles}
+
     def estimate(self, code: Column, complexity: Column) -> dict[str, Column]:
         density = F.when(code > 0, complexity / code).otherwise(0.0)
         context = 1 + F.sqrt(density) * F.lit(self.complexity)

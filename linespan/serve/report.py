@@ -13,6 +13,7 @@ from linespan.functions import text
 from linespan.operators import rollup
 from linespan.sinks import render
 from linespan.sources.config import Options
+from linespan.sources.git import remote_name
 
 SECTIONS = ("languages", "files", "uloc", "lengths", "cost", "hotspots", "coupling", "authors", "timeline")
 #: Rows of the page's tables.
@@ -70,7 +71,7 @@ def _lines(rows: list[dict]) -> str:
 
 
 def page(data: dict[str, list[dict]], o: Options) -> str:
-    title = html.escape(o.report_title or os.path.basename(os.path.abspath(o.paths[0])))
+    title = html.escape(o.report_title or remote_name(o.paths[0]) or os.path.basename(os.path.abspath(o.paths[0])))
     parts = [f"<h2>{name.capitalize()}</h2>" + (_lines(rows) if name == "timeline" else _table(rows)) for name, rows in data.items()]
     style = "body{font:15px sans-serif;max-width:70rem;margin:2rem auto}table{border-collapse:collapse}td,th{padding:.2rem .6rem;border-bottom:1px solid #ddd;text-align:right}td:first-child,th:first-child{text-align:left}"
     return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>{style}</style></head><body><h1>{title}</h1>{"".join(parts)}</body></html>'

@@ -6,7 +6,7 @@ import json
 from dataclasses import replace
 from typing import IO
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linespan import api
@@ -20,7 +20,7 @@ LIMITS = {"files": 10, "hotspots": 50, "coupling": 50}
 def _options(a: dict) -> Options:
     flags = {n for n in ("uloc", "cognitive", "no_duplicates", "no_min_gen", "by_file", "locomo") if a.get(n)}
     split = lambda k: tuple(x for x in str(a.get(k, "")).split(",") if x)
-    return normalise(replace(Options(), paths=(a.get("path") or ".",), flags=frozenset(flags), include_ext=split("include_ext"), exclude_ext=split("exclude_ext"), sort=a.get("sort") or "code"))
+    return normalise(replace(Options(), paths=(a.get("path") or ".",), flags=frozenset(flags), include_ext=split("include_ext"), exclude_ext=split("exclude_ext"), sort=a.get("sort") or "code", locomo_preset=a.get("locomo_preset") or "medium"))
 
 
 def analyze(spark: SparkSession, a: dict) -> dict:
@@ -44,17 +44,28 @@ def _history(spark: SparkSession, a: dict) -> api.GitHistory:
     return api.GitHistory(spark, a.get("path") or ".", int(a.get("depth", api.history.DEPTH)))
 
 
+def _first(found: DataFrame, a: dict, kind: str) -> list[dict]:
+    """As many rows as asked for; -1: all."""
+    most = int(a.get("limit") or LIMITS[kind])
+    return [r.asDict() for r in (found if most < 0 else found.limit(most)).toLocalIterator()]
+
+
 def hotspots(spark: SparkSession, a: dict) -> dict:
-    found = _history(spark, a).hotspots().where(F.col("score") > 0)
-    return {"hotspots": [r.asDict() for r in found.limit(int(a.get("limit") or LIMITS["hotspots"])).collect()]}
+    return {"hotspots": _first(_history(spark, a).hotspots().where(F.col("score") > 0), a, "hotspots")}
 
 
 def coupling(spark: SparkSession, a: dict) -> dict:
     h = _history(spark, a)
     found = h.coupling_for(a["file"]) if a.get("file") else h.coupling(bool(a.get("weighted")))
-    return {"coupling": [r.asDict() for r in found.limit(int(a.get("limit") or LIMITS["coupling"])).collect()]}
+    return {"coupling": _first(found, a, "coupling")}
 
 
+_S, _N, _B = ({"type": t} for t in ("string", "number", "boolean"))
+INPUTS = {
+    "analyze": {"path": _S, "sort": _S, "by_file": _B, "limit": _N, "include_ext": _S, "exclude_ext": _S, "no_duplicates": _B, "no_min_gen": _B, "uloc": _B, "cognitive": _B, "locomo": _B, "locomo_preset": _S},
+    "hotspots": {"path": _S, "depth": _N, "limit": _N},
+    "coupling": {"file": _S, "weighted": _B, "path": _S, "depth": _N, "limit": _N},
+}
 TOOLS = {"analyze": analyze, "hotspots": hotspots, "coupling": coupling}
 
 
@@ -67,7 +78,7 @@ def answer(spark: SparkSession, request: dict) -> dict | None:
     if method == "initialize":
         return reply | {"result": {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "linespan", "version": "1"}}}
     if method == "tools/list":
-        return reply | {"result": {"tools": [{"name": n, "description": f"{n} of a folder", "inputSchema": {"type": "object", "properties": {"path": {"type": "string"}, "limit": {"type": "integer"}}}} for n in TOOLS]}}
+        return reply | {"result": {"tools": [{"name": n, "description": f"{n} of a folder", "inputSchema": {"type": "object", "properties": INPUTS[n]}} for n in TOOLS]}}
     if method == "tools/call" and params.get("name") in TOOLS:
         try:
             return reply | {"result": {"content": [{"type": "text", "text": json.dumps(TOOLS[params["name"]](spark, params.get("arguments") or {}), default=str)}]}}

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from linespan.functions.cost import COCOMO, LOCOMO, megabyte, project_type
+from linespan.functions.cost import COCOMO, LOCOMO, megabyte, project_type, Locomo
 
 Row = dict
 FIGURES = ("files", "lines", "blank", "comment", "code", "complexity", "cognitive", "bytes")
@@ -45,6 +45,7 @@ class Style:
     sloccount: bool = False
     prefix: str = "loc"
     title: str = ""
+    model: Locomo | None = None
 
 
 def width(text: str) -> int:
@@ -81,11 +82,7 @@ def cocomo(code: int, s: Style) -> tuple[float, float, float]:
 
 
 def locomo(code: int, complexity: int, s: Style) -> Row:
-    price_in, price_out, speed = LOCOMO.get(s.preset.lower(), LOCOMO["medium"])
-    root = (complexity / code) ** 0.5 if code else 0.0
-    context, cycles = 1 + root * 5, 1.5 + root * 2
-    out, into = code * 10 * cycles, code * 20 * context * cycles
-    return {"cost": into / 1e6 * price_in + out / 1e6 * price_out, "input_tokens": into, "output_tokens": out, "seconds": out / speed if speed else 0.0, "review_hours": code * 0.01 / 60, "preset": s.preset, "multiplier": context * cycles, "cycles": cycles}
+    return (s.model or Locomo(s.preset)).figures(code, complexity)
 
 
 _SHORT = (("files", 9), ("lines", 11), ("blank", 9), ("comment", 9), ("code", 10), ("complexity", 10))
@@ -305,31 +302,38 @@ def sql(files: Iterable[Row], s: Style = Style(), project: str = "", now: str =
 FORMATS = ("tabular", "wide", "json", "json2", "csv", "csv-stream", "cloc-yaml", "cloc-yml", "html", "html-table", "sql", "sql-insert", "openmetrics")
 
 
-def render(kind: str, languages: list[Row], s: Style = Style(), files: Iterable[Row] | None = None, by_file: bool = False, **more) -> str:
-    """A format by name; an unknown one is tabular. Formats that go by file always read ``files``."""
+def parts(kind: str, languages: list[Row], s: Style = Style(), files: Iterable[Row] | None = None, by_file: bool = False, **more) -> Iterator[str]:
+    """A format by name, piece by piece; an unknown one is tabular. Formats that go by file always read ``files``, and
+    those with a line for each file don't hold more than one."""
     kind = kind.lower()
     each = files if by_file and files is not None else ()
     if kind == "wide":
-        return tabular(languages, s, each, wide=True, unique=more.get("unique"))
-    if kind == "json":
-        return json_text(languages, s, each)
-    if kind == "json2":
-        return json2_text(languages, s, each)
-    if kind == "csv":
-        return "".join(csv_files(files or (), s)) if by_file else csv_text(languages, s)
-    if kind == "csv-stream":
-        return "".join(csv_files(files or (), s, stream=True))
-    if kind in ("cloc-yaml", "cloc-yml"):
-        return cloc_yaml(languages, s, more.get("seconds", 0.0))
-    if kind == "html":
-        return html_page(languages, s, each)
-    if kind == "html-table":
-        return html_table(languages, s, each)
-    if kind in ("sql", "sql-insert"):
-        return "".join((sql if kind == "sql" else sql_insert)(files or (), s, more.get("project", ""), more.get("now", ""), more.get("seconds", 0.0)))
-    if kind == "openmetrics":
-        return "".join(openmetrics(languages, s, files if by_file else None))
-    return tabular(languages, s, each, unique=more.get("unique"))
+        yield tabular(languages, s, each, wide=True, unique=more.get("unique"))
+    elif kind == "json":
+        yield json_text(languages, s, each)
+    elif kind == "json2":
+        yield json2_text(languages, s, each)
+    elif kind == "csv" and not by_file:
+        yield csv_text(languages, s)
+    elif kind in ("csv", "csv-stream"):
+        yield from csv_files(files or (), s, stream=kind == "csv-stream")
+    elif kind in ("cloc-yaml", "cloc-yml"):
+        yield cloc_yaml(languages, s, more.get("seconds", 0.0))
+    elif kind == "html":
+        yield html_page(languages, s, each)
+    elif kind == "html-table":
+        yield html_table(languages, s, each)
+    elif kind in ("sql", "sql-insert"):
+        yield from (sql if kind == "sql" else sql_insert)(files or (), s, more.get("project", ""), more.get("now", ""), more.get("seconds", 0.0))
+    elif kind == "openmetrics":
+        yield from openmetrics(languages, s, files if by_file else None)
+    else:
+        yield tabular(languages, s, each, unique=more.get("unique"))
+
+
+def render(kind: str, languages: list[Row], s: Style = Style(), files: Iterable[Row] | None = None, by_file: bool = False, **more) -> str:
+    """All of ``parts``, for results that are known to be small."""
+    return "".join(parts(kind, languages, s, files, by_file, **more))
 
 
 BARS, ASCII_BARS = " ▁▂▃▄▅▆▇█", " .:-=+*#@"

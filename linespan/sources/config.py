@@ -50,6 +50,13 @@ class Options:
     size_unit: str = "si"
     sql_project: str = ""
     locomo_preset: str = "medium"
+    locomo_config: str = ""
+    locomo_review: float = 0.01
+    locomo_input_price: float = 0.0
+    locomo_output_price: float = 0.0
+    locomo_tps: float = 0.0
+    locomo_cycles: float = 0.0
+    completion: str = ""
     coupling_for: str = ""
     depth: int = DEPTH
     buckets: int = 60
@@ -82,17 +89,38 @@ def parser() -> argparse.ArgumentParser:
     for name in TRUE:
         p.add_argument(*([short[name]] if name in short else []), f"--{name.replace('_', '-')}", action="store_true")
     d = Options()
-    for name, s in (("format", "-f"), ("format_multi", ""), ("output", "-o"), ("report", ""), ("report_title", ""), ("sort", "-s"), ("ignore_file", ""), ("cocomo_project_type", ""), ("currency_symbol", ""), ("size_unit", ""), ("sql_project", ""), ("locomo_preset", ""), ("coupling_for", ""), ("rules", ""), ("config", "")):
+    for name, s in (("format", "-f"), ("format_multi", ""), ("output", "-o"), ("report", ""), ("report_title", ""), ("sort", "-s"), ("ignore_file", ""), ("cocomo_project_type", ""), ("currency_symbol", ""), ("size_unit", ""), ("sql_project", ""), ("locomo_preset", ""), ("coupling_for", ""), ("rules", ""), ("locomo_config", ""), ("completion", ""), ("config", "")):
         p.add_argument(*([s] if s else []), f"--{name.replace('_', '-')}", default=getattr(d, name, ""))
     for name in ("min_gen_line_length", "large_byte_count", "large_line_count", "depth", "buckets"):
         p.add_argument(f"--{name.replace('_', '-')}", type=int, default=getattr(d, name))
-    for name in ("avg_wage", "overhead", "eaf"):
+    for name in ("avg_wage", "overhead", "eaf", "locomo_review", "locomo_input_price", "locomo_output_price", "locomo_tps", "locomo_cycles"):
         p.add_argument(f"--{name.replace('_', '-')}", type=float, default=getattr(d, name))
     for name, s in (("include_ext", "-i"), ("exclude_ext", "-x"), ("exclude_dir", ""), ("exclude_file", "-n"), ("not_match", "-M"), ("generated_markers", ""), ("count_as", ""), ("count_as_pattern", ""), ("remap_all", ""), ("remap_unknown", ""), ("report_skip", "")):
         p.add_argument(*([s] if s else []), f"--{name.replace('_', '-')}", action="append", default=[])
     return p
 
 
+def flags_of(p: argparse.ArgumentParser) -> list[str]:
+    return sorted(s[2:] for action in p._actions for s in action.option_strings if s.startswith("--"))
+
+
+#: A line for each shell; {flags} are all flags, {words} the same without dashes.
+COMPLETIONS = {
+    "bash": "complete -o default -W '{flags}' linespan\n",
+    "zsh": "#compdef linespan\n_arguments {flags} '*:file:_files'\n",
+    "fish": "for f in {words}\n  complete -c linespan -l $f\nend\n",
+    "powershell": "Register-ArgumentCompleter -Native -CommandName linespan -ScriptBlock {{ param($word) '{flags}'.Split(' ') | Where-Object {{ $_ -like \"$word*\" }} }}\n",
+}
+
+
+def completion(shell: str) -> str:
+    """A script that completes flags in a shell."""
+    if shell not in COMPLETIONS:
+        raise ValueError(f"Unknown shell: {shell}")
+    words = flags_of(parser())
+    return COMPLETIONS[shell].format(flags=" ".join(f"--{w}" for w in words), words=" ".join(words))
+
+
 def tokens(text: str) -> list[str]:
     """Flags of a file: any number on a line, quotes as in a shell, comments after '#'."""
     return [t for line in text.splitlines() for t in shlex.split(line, comments=True)]
@@ -134,10 +162,16 @@ def discover(argv: list[str], environ: dict[str, str] | None = None, folder: str
 
 
 def options(argv: list[str], environ: dict[str, str] | None = None, folder: str = ".") -> Options:
-    a = parser().parse_args(discover(argv, environ, folder))
+    p = parser()
+    a, unknown = p.parse_known_args(discover(argv, environ, folder))
+    if unknown:
+        name = unknown[0].lstrip("-").partition("=")[0]
+        near = similar(name, flags_of(p))
+        hint = f"; did you mean {', '.join('--' + x for x in near)}?" if near else ""
+        raise ValueError(f"unknown flag: {unknown[0]}{hint}")
     split = lambda v: [x.strip() for i in v for x in i.split(",") if x.strip()]
     o = Options()
-    plain = {n: getattr(a, n) for n in ("format", "format_multi", "output", "report", "report_title", "sort", "ignore_file", "min_gen_line_length", "large_byte_count", "large_line_count", "avg_wage", "overhead", "eaf", "cocomo_project_type", "currency_symbol", "size_unit", "sql_project", "locomo_preset", "coupling_for", "depth", "buckets", "rules")}
+    plain = {n: getattr(a, n) for n in ("format", "format_multi", "output", "report", "report_title", "sort", "ignore_file", "min_gen_line_length", "large_byte_count", "large_line_count", "avg_wage", "overhead", "eaf", "cocomo_project_type", "currency_symbol", "size_unit", "sql_project", "locomo_preset", "locomo_config", "locomo_review", "locomo_input_price", "locomo_output_price", "locomo_tps", "locomo_cycles", "completion", "coupling_for", "depth", "buckets", "rules")}
     return normalise(replace(
         o, paths=tuple(a.paths) or (".",), flags=frozenset(n for n in TRUE if getattr(a, n)), **plain, include_ext=tuple(split(a.include_ext)), exclude_ext=tuple(split(a.exclude_ext)), exclude_dir=union(o.exclude_dir, split(a.exclude_dir)), exclude_file=union(o.exclude_file, split(a.exclude_file)), not_match=tuple(a.not_match),
         generated_markers=tuple(split(a.generated_markers)) or o.generated_markers, count_as=dict(_pairs(a.count_as)), count_as_pattern=tuple(a.count_as_pattern), remap_all=tuple(_pairs(a.remap_all)), remap_unknown=tuple(_pairs(a.remap_unknown)), report_skip=tuple(split(a.report_skip)),

@@ -137,3 +137,9 @@ def mailmap(spark: SparkSession, repo: str) -> DataFrame | None:
     data = _blob(repo, "HEAD", ".mailmap")
     rows = parse_mailmap(data.decode(errors="replace")) if data else []
     return spark.createDataFrame(rows, "commit_name string, commit_email string, proper_name string, proper_email string") if rows else None
+
+
+def remote_name(repo: str) -> str:
+    """The repository's name by its remote 'origin': the last part of the address without '.git'; '' if there is none."""
+    out = subprocess.run(["git", "-C", repo, "config", "--get", "remote.origin.url"], capture_output=True, text=True, check=False)
+    return out.stdout.strip().removesuffix("/").rsplit("/", 1)[-1].rsplit(":", 1)[-1].removesuffix(".git")

@@ -112,3 +112,84 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == 3
+
+
+def test_badge_figures():
+    assert [badge.short(n) for n in (0, 999, 1000, 1001, 9_950, 12_345, 999_999, 3_456_789, 2e9, 7e12)] == ["0", "999", "1.0k", "1.1k", "10k", "12k", "1000k", "3.5M", "2.0G", "7.0T"]
+
+
+def test_badge_server():
+    asked, clock = [], [0.0]
+    b = badge.Badges(lambda address: asked.append(address) or languages(), keep=10, most=2, now=lambda: clock[0])
+    status, kind, body = b.answer("/github/own/thing?category=lines&badge-bg-color=red")
+    assert status == 200 and kind.startswith("image/svg") and "Total lines" in body and "#e05d44" in body
+    assert b.answer("/github.com/own/thing")[0] == 200 and asked == ["https://github.com/own/thing.git"]
+    clock[0] = 11
+    b.answer("/github/own/thing")
+    assert len(asked) == 2
+    for x in "abc":
+        b.answer(f"/gitlab/own/{x}")
+    assert len(b.known) == 2 and b.answer("/x")[0] == 400 and b.answer("/health-check/")[2] == "ok"
+    assert badge.Badges(lambda a: (_ for _ in ()).throw(ValueError("no such"))).answer("/github/a/b") == (400, "text/plain", "no such")
+    import threading
+    import urllib.request
+
+    server = b.server(0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.build_opener(urllib.request.ProxyHandler({})).open(f"http://127.0.0.1:{server.server_port}/github/own/thing") as r:
+        assert r.status == 200 and r.read().startswith(b"<svg")
+    server.shutdown()
+
+
+def test_model_cost_options():
+    from linespan.sources.config import options
+
+    o = options(["--locomo", "--locomo-input-price", "2", "--locomo-output-price", "4", "--locomo-tps", "10", "--locomo-cycles", "3", "--locomo-review", "0.6", "--locomo-config", "1,2,x,4,5", "--no-config"])
+    from linespan import api
+
+    got = render.locomo(100, 25, api.style(o))
+    # a part that is no number keeps its default: complexity 5
+    assert got["output_tokens"] == 100 * 1 * 3 and got["input_tokens"] == 100 * 2 * 3.5 * 3 and got["cycles"] == 3
+    assert abs(got["cost"] - (2100 * 2 + 300 * 4) / 1e6) < 1e-12 and got["seconds"] == 30 and got["review_hours"] == 1.0
+    assert cost.Locomo.of(config="1,2,3") == cost.Locomo() and render.locomo(100, 25, render.Style())["output_tokens"] == 2500.0
+
+
+def test_unknown_flags_completion_and_log(tmp_path, capsys, caplog):
+    assert cli.main(["--no-complexty"]) == 1
+    assert "did you mean --no-complexity" in capsys.readouterr().err
+    for shell in ("bash", "zsh", "fish", "powershell"):
+        assert cli.main(["--completion", shell, "--no-config"]) == 0 and "by-file" in capsys.readouterr().out
+    assert cli.main(["--completion", "csh", "--no-config"]) == 1
+    (tmp_path / "a.py").write_text("x = 1\n")
+    assert cli.main([str(tmp_path), "--by-file", "-f", "csv-stream", "--trace", "-o", str(tmp_path / "out.csv"), "--no-config"]) == 0
+    assert "a.py" in (tmp_path / "out.csv").read_text() and any("languages" in r.message for r in caplog.records)
+
+
+def test_pieces_come_one_at_a_time():
+    def files():
+        for i in range(3):
+            seen.append(i)
+            yield {"language": "C", "location": f"{i}.c", "filename": f"{i}.c", "lines": 1, "code": 1, "comment": 0, "blank": 0, "complexity": 0, "bytes": 1, "uloc": 1}
+
+    for kind in ("csv-stream", "sql-insert"):
+        seen = []
+        pieces = render.parts(kind, languages(), render.Style(), files(), by_file=True)
+        while not seen:
+            next(pieces)
+        assert seen == [0]
+
+
+def test_tool_inputs():
+    assert set(tools.INPUTS) == set(tools.TOOLS) and "depth" in tools.INPUTS["hotspots"]
+
+
+def test_remote_name(tmp_path):
+    import subprocess
+
+    from linespan.sources.git import remote_name
+
+    subprocess.run(["git", "init", "-q", str(tmp_path / "r")], check=True)
+    assert remote_name(str(tmp_path / "r")) == ""
+    for url in ("git@host:own/thing.git", "https://host/own/thing.git/", "host:thing"):
+        subprocess.run(["git", "-C", str(tmp_path / "r"), "config", "remote.origin.url", url], check=True)
+        assert remote_name(str(tmp_path / "r")) == "thing"
