@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from linespan.llm.common import partitions, shielded
 
 K, S, SKETCH = 5, 2, 128
+#: Text of a range of ids in bytes about, ranges at most, sampled ids for each; bounds that are looked through together.
+RANGE_BYTES, MOST_RANGES, SAMPLED, STRIDE = 128 << 20, 40_000, 64, 256
 #: Words are runs outside [\x20\x09-\x0D]; longer ones count as several words, so that text without blanks has anchors too.
 WORD = r"[^\x20\x09-\x0D]{1,16}"
 
@@ -67,12 +69,22 @@ def with_matches(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(f"near_{out}", shared / (F.size(f) - shared)).drop(tagged, firsts)
 
 
-def _bucket(key: Column, bounds: list[int], first: int = 0) -> Column:
-    """How many of these sorted bounds are at or below ``key``, by halving."""
+def _halving(key: Column, bounds: list[int], first: int = 0) -> Column:
     if not bounds:
         return F.lit(first)
     mid = len(bounds) // 2
-    return F.when(key < bounds[mid], _bucket(key, bounds[:mid], first)).otherwise(_bucket(key, bounds[mid + 1 :], first + mid + 1))
+    return F.when(key < bounds[mid], _halving(key, bounds[:mid], first)).otherwise(_halving(key, bounds[mid + 1 :], first + mid + 1))
+
+
+def _bucket(key: Column, bounds: list[int]) -> Column:
+    """How many of these sorted bounds are at or below ``key``: by halving over every ``STRIDE``-th, then among those up
+    to the next, which are a literal of the plan."""
+    if len(bounds) <= STRIDE:
+        return _halving(key, bounds)
+    strides = _halving(key, bounds[STRIDE - 1 :: STRIDE])
+    every = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    some = F.slice(every, strides * STRIDE + 1, F.lit(STRIDE))
+    return strides * STRIDE + F.size(F.filter(some, lambda x: x <= key))
 
 
 @shielded("_key", "_range", "_in", "_top", "_to")
@@ -80,12 +92,16 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, ...) with next_<column> of the row after it in descending doc_id.
 
     After the last comes the first. Repeated ids follow each other by their text's hash and text; null ids come last.
-    Rows are dealt into ranges of ids, as many as there are shuffle partitions, whose bounds are quantiles; the top row
-    of each range also goes, as a ghost, to the range above it, so that no range needs another.
+    Rows are dealt into ranges of ids, as many as there are shuffle partitions or more, so that a range has about
+    ``RANGE_BYTES`` of text (of one id all rows are in one); the bounds are quantiles of a sample of ids and decide
+    nothing else. The top row of each range also goes, as a ghost, to the range above it, so that no range needs another.
     """
     keyed = docs.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = max(1, min(partitions(docs.sparkSession), 2_000))
-    quantiles = keyed.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    rows, size = keyed.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = max(1, min(max(partitions(docs.sparkSession), (size or 0) // RANGE_BYTES), MOST_RANGES))
+    drawn = F.shiftrightunsigned(F.xxhash64("_key", F.lit("ranges")), 12) / F.lit(float(1 << 52))
+    sampled = keyed.where(drawn < SAMPLED * parts / max(rows, 1))
+    quantiles = sampled.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0]
     bounds = sorted(set(quantiles or []))
     keyed = keyed.withColumn("_range", _bucket(F.col("_key"), bounds))
     tops = sorted(tuple(r) for r in keyed.groupBy("_range").agg(F.max("_key")).collect())  # a row for each range

@@ -77,3 +77,20 @@ def test_report_against_plain_python(spark, docs):
         want[i, len(own), hashlib.sha256(edited.encode()).hexdigest(), print_plainly(own), print_plainly(edited), *likeness] += 1
     out = syncmers.fingerprint_documents(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     assert Counter(tuple(r) for r in out.collect()) == want
+
+
+def test_ranges_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE_BYTES", 20)
+    monkeypatch.setattr(syncmers, "STRIDE", 8)
+    ids = [i * 37 % 1009 - 300 for i in range(1009)] + [None, None, 5, 5, 5]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], SCHEMA)
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    want = {(i, t): after for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True)}
+    assert {(r.doc_id, r.text): r.next_text for r in syncmers.with_next(df, ["text"]).collect()} == want
+    bounds = [-5, 0, 1, 7, 8, 9, 100, 101, 102, 500]
+    keys = list(range(-10, 520, 3))
+    for stride in (1, 2, 3, 4, 9, 10, 11):
+        monkeypatch.setattr(syncmers, "STRIDE", stride)
+        got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", syncmers._bucket(syncmers.F.col("k"), bounds).alias("b")).collect()
+        assert all(r.b == sum(x <= r.k for x in bounds) for r in got)
