@@ -16,7 +16,7 @@ from linespan.llm.common import partitions, shielded
 
 K, S, SKETCH = 5, 2, 128
 #: Text of a range of ids in bytes about, ranges at most, sampled ids for each; bounds that are looked through together.
-RANGE_BYTES, MOST_RANGES, SAMPLED, STRIDE = 128 << 20, 40_000, 64, 256
+RANGE_BYTES, MOST_RANGES, SAMPLED, STRIDE = 128 << 20, 40_000, 64, 200
 #: Words are runs outside [\x20\x09-\x0D]; longer ones count as several words, so that text without blanks has anchors too.
 WORD = r"[^\x20\x09-\x0D]{1,16}"
 
@@ -77,14 +77,17 @@ def _halving(key: Column, bounds: list[int], first: int = 0) -> Column:
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of these sorted bounds are at or below ``key``: by halving over every ``STRIDE``-th, then among those up
-    to the next, which are a literal of the plan."""
-    if len(bounds) <= STRIDE:
+    """How many of these sorted bounds are at or below ``key``: among every ``STRIDE``-th, then among those up
+    to the next, which are a literal of the plan: a branch for each of many bounds makes code that takes too much memory to
+    compile."""
+    if len(bounds) < 16:
         return _halving(key, bounds)
-    strides = _halving(key, bounds[STRIDE - 1 :: STRIDE])
     every = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    some = F.slice(every, strides * STRIDE + 1, F.lit(STRIDE))
-    return strides * STRIDE + F.size(F.filter(some, lambda x: x <= key))
+    strides = F.lit(0)
+    if len(bounds) >= STRIDE:
+        rough = F.split(F.lit(",".join(map(str, bounds[STRIDE - 1 :: STRIDE]))), ",").cast("array<bigint>")
+        strides = F.size(F.filter(rough, lambda x: x <= key)) * STRIDE
+    return F.get(F.transform(F.array(strides), lambda n: n + F.size(F.filter(F.slice(every, n + 1, F.lit(STRIDE)), lambda x: x <= key))), F.lit(0))
 
 
 @shielded("_key", "_range", "_in", "_top", "_to")

@@ -88,9 +88,9 @@ def test_ranges_follow_the_size(spark, monkeypatch):
     order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     want = {(i, t): after for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True)}
     assert {(r.doc_id, r.text): r.next_text for r in syncmers.with_next(df, ["text"]).collect()} == want
-    bounds = [-5, 0, 1, 7, 8, 9, 100, 101, 102, 500]
+    bounds = [-5, 0, 1, 7, 8, 9, 100, 101, 102, 103, 104, 111, 113, 114, 200, 201, 300, 500]
     keys = list(range(-10, 520, 3))
-    for stride in (1, 2, 3, 4, 9, 10, 11):
+    for stride in (1, 2, 3, 4, 9, 17, 18, 19):
         monkeypatch.setattr(syncmers, "STRIDE", stride)
         got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", syncmers._bucket(syncmers.F.col("k"), bounds).alias("b")).collect()
         assert all(r.b == sum(x <= r.k for x in bounds) for r in got)
