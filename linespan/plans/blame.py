@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +38,8 @@ def replay(changes: DataFrame, baseline: DataFrame | None = None, renames: DataF
 
     ``changes``: seq, path, author_id, added and removed (arrays of start and count), line_types and complexity (arrays
     by line of the file after the commit). ``baseline``: path, line_types at the start of the window; its lines are
-    ``BEFORE``'s. A file's history is one group: its size is what one file went through.
+    ``BEFORE``'s. Commits come sorted by lineage and seq in Arrow batches, and what is held of a file is the owner of each
+    of its lines, so a file's history may be of any length. Equal seqs go by path, and rows of a null path are one file.
     """
     own = lineages(changes, renames).select("lineage", "seq", "path", "author_id", "added", "removed", "line_types", "complexity")
     if baseline is not None:
@@ -46,18 +47,27 @@ def replay(changes: DataFrame, baseline: DataFrame | None = None, renames: DataF
         empty = F.array().cast("array<struct<start:int,count:int>>")
         own = own.unionByName(start.select("lineage", "seq", "path", F.lit(BEFORE).cast("long").alias("author_id"), empty.alias("added"), empty.alias("removed"), "line_types", F.transform("line_types", lambda x: x * 0).alias("complexity")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def lines_of(r: tuple, owners: list[int]) -> pd.DataFrame:
+        n = len(owners)
+        weight = list(r.complexity)[:n] + [0] * (n - len(r.complexity))
+        return pd.DataFrame({"path": [r.lineage] * n, "line_no": range(1, n + 1), "author_id": owners, "line_type": list(r.line_types), "complexity": weight})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = lambda x: [(int(p["start"]), int(p["count"])) for p in x]
         owners: list[int] = []
         last = None
-        for r in pdf.sort_values("seq", kind="stable").itertuples():
-            pairs = lambda x: [(int(p["start"]), int(p["count"])) for p in x]
-            owners = apply_diff(owners, len(r.line_types), pairs(r.added), pairs(r.removed), int(r.author_id))
-            last = r
-        n = len(owners)
-        weight = list(last.complexity)[:n] + [0] * (n - len(last.complexity))
-        return pd.DataFrame({"path": [last.lineage] * n, "line_no": range(1, n + 1), "author_id": owners, "line_type": list(last.line_types), "complexity": weight})
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if last is not None and r.lineage != last.lineage:
+                    yield lines_of(last, owners)
+                    owners = []
+                owners = apply_diff(owners, len(r.line_types), pairs(r.added), pairs(r.removed), int(r.author_id))
+                last = r
+        if last is not None:
+            yield lines_of(last, owners)
 
-    return own.groupBy("lineage").applyInPandas(run, "path string, line_no int, author_id bigint, line_type int, complexity int")
+    ordered = own.repartition("lineage").sortWithinPartitions("lineage", "seq", "path")
+    return ordered.mapInPandas(run, "path string, line_no int, author_id bigint, line_type int, complexity int")
 
 
 def owned_lines(blame: DataFrame) -> DataFrame:

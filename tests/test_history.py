@@ -141,3 +141,28 @@ def test_fold_series(spark):
     rows = [(f"a{i:02}", b, i if b else 1, b) for i in range(20) for b in range(2)]
     got = {(r.who, r.bucket): (r.commits, r.delta, r["rank"]) for r in history.fold_series(spark.createDataFrame(rows, "who string, bucket int, commits long, delta long"), "who", [F.desc("commits")], ["commits", "delta"]).collect()}
     assert len(got) == 32 and got["a19", 1] == (19, 1, 1) and got["others (5)", 0] == (5, 0, 16) and got["others (5)", 1] == (10, 5, 16)
+
+
+def test_replay_over_batches(spark):
+    """A file's commits may lie in several Arrow batches, and several files in one."""
+    rng = random.Random(5)
+    span = "array<struct<start:int,count:int>>"
+    rows, want = [], {}
+    for path in "abcdefg":
+        owners: list[int] = []
+        for seq in rng.sample(range(100), 9):
+            rows.append([seq, path, seq % 4])
+        for r in sorted(x for x in rows if x[1] == path):
+            n = rng.randint(0, 6)
+            added, removed = [(rng.randint(1, 4), rng.randint(0, 2))], [(rng.randint(1, 4), rng.randint(0, 2))]
+            owners = blame.apply_diff(owners, n, added, removed, r[2])
+            r += [added, removed, [1] * n, list(range(n))]
+        want |= {(path, i): a for i, a in enumerate(owners, 1)}
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        df = spark.createDataFrame([tuple(r) for r in rows], f"seq bigint, path string, author_id bigint, added {span}, removed {span}, line_types array<int>, complexity array<int>")
+        got = [(r.path, r.line_no, r.author_id, r.complexity) for r in blame.replay(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {(p, i): a for p, i, a, _ in got} == want and all(c == i - 1 for _, i, _, c in got)
