@@ -15,6 +15,7 @@ from linespan import rules
 from linespan.functions import cost, text
 from linespan.operators import classify, detect, rollup
 from linespan.plans import blame, history
+from linespan.sources import ignore
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -413,9 +414,14 @@ def cognitive_complexity(spark, d):
     return classify.count_files(docs).select("doc_id", "lines", "code", "comment", "blank", "complexity", "cognitive")
 
 
-@query()
+@query("""WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey AS seq, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS author_id, greatest(CAST(floor(o_totalprice / 10000) AS BIGINT), 1) AS n FROM orders),
+r AS (SELECT *, first_value(n) OVER w + 2 AS size, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM c WINDOW w AS (PARTITION BY path ORDER BY seq DESC)),
+k AS (SELECT path, author_id, least(n, greatest(size - newer, 0)) AS lines, size FROM r),
+o AS (SELECT path, author_id, lines FROM k UNION ALL SELECT path, -1, min(size) - sum(lines) FROM k GROUP BY path)
+SELECT path, CAST(author_id AS BIGINT) AS author_id, CAST(sum(lines) AS BIGINT) AS code, CAST(0 AS BIGINT) AS comment, CAST(0 AS BIGINT) AS complexity FROM o WHERE lines > 0 GROUP BY 1, 2""")
 def blame_replay(spark, d):
-    """Orders of a customer as commits that add as many lines as they cost thousands."""
+    """Orders of a customer as commits that put as many lines in front as they cost ten thousands, and leave two more of
+    the file: the newest commit's lines, then those before it, and of a file that had fewer, lines from before the window."""
     n = F.greatest(F.floor(F.col("o_totalprice") / 10_000), F.lit(1)).cast("int")
     orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").cast("string").alias("path"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("author_id"), n.alias("n"))
     span = lambda c: F.array(F.struct(F.lit(1).alias("start"), c.alias("count")))
@@ -423,5 +429,103 @@ def blame_replay(spark, d):
     return blame.owned_lines(blame.replay(changes))
 
 
+def _chain(spark, d):
+    """Renames of parts, in chains of two: 5k + 1 became 5k + 2, which became 5k + 3."""
+    part = F.col("p_partkey")
+    moved = load(spark, d, "part").where((part % 5).isin(1, 2))
+    return history.rename_map(moved.select(part.alias("seq"), F.lit(0).alias("change_idx"), part.cast("string").alias("from_path"), (part + 1).cast("string").alias("path")))
+
+
+_NOW = "CAST(CASE WHEN {p} % 5 IN (1, 2) THEN {p} - {p} % 5 + 3 ELSE {p} END AS VARCHAR)"
+_text_path = lambda df: df.withColumn("path", F.col("path").cast("string"))
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS seq, {_NOW.format(p="l_partkey")} AS path, sum(CAST(l_quantity AS BIGINT)) AS n, sum(CASE WHEN l_returnflag = 'N' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS code FROM lineitem GROUP BY 1, 2, l_partkey),
+r AS (SELECT c.path, p_brand AS language, CAST(p_size AS BIGINT) AS complexity, count(*) AS commits, CAST(sum(n) AS BIGINT) AS lines_changed, count(DISTINCT o_custkey) AS authors, CAST(sum(code) AS BIGINT) AS code_churn, CAST(sum(n - code) AS BIGINT) AS comment_churn
+FROM c JOIN orders ON seq = o_orderkey JOIN part ON c.path = CAST(p_partkey AS VARCHAR) WHERE p_size > 10 GROUP BY 1, 2, 3),
+s AS (SELECT *, complexity * commits / max(complexity * commits) OVER () * 100 AS score FROM r)
+SELECT * REPLACE (round(score, 6) AS score) FROM s ORDER BY s.score DESC, path LIMIT 50""")
+def hotspots_renamed(spark, d):
+    """The first fifty after renames, the changes of old names counted with the last one."""
+    moved = history.follow(_text_path(_changes(spark, d)), _chain(spark, d), "path")
+    return history.hotspots(moved, _text_path(_head(spark, d))).orderBy(F.desc("score"), "path").limit(50).withColumn("score", F.round("score", 6))
+
+
+_MOVED_PAIRS = f"""WITH f AS (SELECT DISTINCT l_orderkey AS seq, CAST(l_partkey AS VARCHAR) AS path, {_NOW.format(p="l_partkey")} AS now FROM lineitem), s AS (SELECT seq FROM f GROUP BY seq HAVING count(*) BETWEEN 2 AND 30),
+p AS (SELECT least(x.now, y.now) AS a, greatest(x.now, y.now) AS b, count(*) AS shared FROM f x JOIN f y ON x.seq = y.seq AND x.path < y.path WHERE x.seq IN (SELECT seq FROM s) AND x.now <> y.now GROUP BY 1, 2 HAVING count(*) >= 2),
+t AS (SELECT now, p_size AS complexity, count(*) AS n FROM f JOIN part ON now = CAST(p_partkey AS VARCHAR) WHERE p_size > 10 GROUP BY 1, 2)
+SELECT a, b, shared, x.n AS commits_a, y.n AS commits_b, shared / (x.n + y.n - shared) * 100 AS degree, CAST(shared * least(x.complexity, y.complexity) AS BIGINT) AS weighted FROM p JOIN t x ON a = x.now JOIN t y ON b = y.now"""
+
+
+@query(f"SELECT * REPLACE (round(degree, 6) AS degree) FROM ({_MOVED_PAIRS})")
+def coupling_renamed(spark, d):
+    return _rounded(history.coupling(_text_path(_touched(spark, d)), _text_path(_head(spark, d)), renames=_chain(spark, d)), "degree")
+
+
+@query(f"SELECT * REPLACE (round(degree, 6) AS degree) FROM (SELECT * FROM ({_MOVED_PAIRS}) ORDER BY shared DESC, degree DESC, a, b LIMIT 15)")
+def coupling_overview(spark, d):
+    """The first fifteen, as the overview has them."""
+    pairs = history.coupling(_text_path(_touched(spark, d)), _text_path(_head(spark, d)), renames=_chain(spark, d))
+    return _rounded(history.order_coupling(pairs).limit(15), "degree")
+
+
+_PEOPLE = """WITH c AS (SELECT o_orderkey AS seq, CASE WHEN o_custkey % 50 = 2 THEN 'root' ELSE 'c' || (o_custkey % 50) END AS author, 'M' || (o_custkey % 7) || '@' || CASE o_custkey % 3 WHEN 0 THEN 'a.example' WHEN 1 THEN 'x.B.example' ELSE 'c.example' END AS email FROM orders),
+m AS (SELECT seq, CASE WHEN author = 'c1' AND lower(email) = 'm1@x.b.example' THEN 'One' WHEN lower(email) = 'm4@x.b.example' THEN 'Mapped' ELSE author END AS author, CASE WHEN author = 'c1' AND lower(email) = 'm1@x.b.example' THEN 'one@d.example' ELSE email END AS email FROM c),
+g AS (SELECT min(seq) AS author_id, arg_min(author, seq) AS author, arg_min(email, seq) AS email, count(*) AS commits FROM m GROUP BY lower(author), CASE WHEN author = 'root' THEN email ELSE lower(split_part(email, '@', 2)) END),
+d AS (SELECT *, lower(split_part(email, '@', 2)) AS domain, CASE WHEN email LIKE '%@x.B.%' THEN 'b.example' ELSE lower(split_part(email, '@', 2)) END AS short FROM g),
+n AS (SELECT author, count(*) AS n, count(DISTINCT short) AS n1, count(DISTINCT domain) AS n2 FROM d GROUP BY author)
+SELECT author_id, author, email, commits, CASE WHEN n = 1 THEN author ELSE author || ' (' || CASE WHEN n1 = n THEN short WHEN n2 = n THEN domain ELSE email END || ')' END AS display FROM d JOIN n USING (author)"""
+
+
+@query(_PEOPLE)
+def identities(spark, d):
+    """Customers as authors: a mailmap by name and mail and by mail alone, folded by mail domain, names told apart."""
+    who = F.col("o_custkey")
+    host = F.when(who % 3 == 0, "a.example").when(who % 3 == 1, "x.B.example").otherwise("c.example")
+    name = F.when(who % 50 == 2, "root").otherwise(F.concat(F.lit("c"), (who % 50).cast("string")))
+    log = load(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), name.alias("author"), F.concat(F.lit("M"), (who % 7).cast("string"), F.lit("@"), host).alias("email"))
+    entries = [("c1", "m1@X.b.example", "One", "one@d.example"), (None, "m4@x.b.example", "Mapped", "")]
+    mailmap = spark.createDataFrame(entries, "commit_name string, commit_email string, proper_name string, proper_email string")
+    people = history.identities(log, mailmap).groupBy("author_id", "author", "email").agg(F.count(F.lit(1)).alias("commits"))
+    return history.disambiguate(people)
+
+
+@query(f"""WITH f AS (SELECT *, {_MARKED} AS generated FROM {FILES_SQL}), k AS (SELECT min(location) AS location FROM f GROUP BY bytes, sha256(content))
+SELECT location, CAST(bytes AS BIGINT) AS bytes, lines FROM f WHERE location IN (SELECT location FROM k) AND NOT generated AND NOT (lines > 0 AND bytes // lines >= 255) AND lines < 40""")
+def drops_in_order(spark, d):
+    """Copies, minified, generated and long files dropped; a copy's keeper is chosen before the others go."""
+    rows = files(spark, d).withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
+    marked = rows.withColumn("minified", text.minified(F.col("bytes"), F.col("lines"), F.col("generated")))
+    return rollup.drop_in_order(marked, True, True, True, 40).select("location", "bytes", "lines")
+
+
+_PATHS_SQL = "(SELECT doc_id, source || '/' || (doc_id % 10) || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.lock' WHEN 2 THEN '.d.ts' ELSE '' END AS location FROM documents)"
+_IGNORE = "*.lock\n!*5.lock\n/src1/3/\n7/\nsrc2/**/1*\n# a comment\n/src3/*.txt"
+
+
+@query(rf"""SELECT location, regexp_extract(location, '^(.*/)', 1) AS directory, CASE WHEN regexp_matches(location, '^src2/(.*/)?1[^/]*(/|$)') THEN true WHEN location LIKE '%/7/%' OR location LIKE 'src1/3/%' THEN true WHEN suffix(location, '5.lock') THEN false ELSE suffix(location, '.lock') END AS ignored,
+CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'lock' WHEN 2 THEN 'd.ts' ELSE CAST(doc_id AS VARCHAR) END AS extension FROM {_PATHS_SQL}""")
+def ignore_rules(spark, d):
+    """Invented paths: their folder, extension, and whether rules of an ignore file leave them out."""
+    n = F.col("doc_id")
+    end = F.when(n % 4 == 0, ".txt").when(n % 4 == 1, ".lock").when(n % 4 == 2, ".d.ts").otherwise("")
+    name = F.concat(n.cast("string"), end)
+    rows = load(spark, d, "documents").select(F.concat_ws("/", "source", (n % 10).cast("string"), name).alias("location"), name.alias("name"))
+    rules_ = ignore.Ignore([("", ignore.parse(_IGNORE))])
+    return rows.select("location", text.directory(F.col("location")).alias("directory"), ignore.ignored(F.col("location"), rules_).alias("ignored"), text.extension(F.col("name")).alias("extension"))
+
+
+@query(f"SELECT location, CAST(bytes AS BIGINT) AS bytes FROM {FILES_SQL} ORDER BY bytes DESC, location LIMIT 50")
+def files_by_bytes(spark, d):
+    return rollup.sort_files(files(spark, d), "bytes").limit(50).select("location", "bytes")
+
+
+@query(r"""SELECT doc_id, sha256(replace(text, chr(39), chr(39) || chr(39))) AS sql_sha256, sha256(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n')) AS label_sha256 FROM documents""")
+def escapes(spark, d):
+    """Texts as literals of SQL and as labels of metrics (the tables' texts have no NUL)."""
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return load(spark, d, "documents").select("doc_id", digest(text.sql_escape(F.col("text"))).alias("sql_sha256"), digest(text.label_escape(F.col("text"))).alias("label_sha256"))
+
+
 QUERIES = {name: f for name, (f, _) in _Q.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _Q.items() if sql}
