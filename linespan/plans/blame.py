@@ -47,10 +47,11 @@ def replay(changes: DataFrame, baseline: DataFrame | None = None, renames: DataF
         empty = F.array().cast("array<struct<start:int,count:int>>")
         own = own.unionByName(start.select("lineage", "seq", "path", F.lit(BEFORE).cast("long").alias("author_id"), empty.alias("added"), empty.alias("removed"), "line_types", F.transform("line_types", lambda x: x * 0).alias("complexity")))
 
-    def lines_of(r: tuple, owners: list[int]) -> pd.DataFrame:
-        n = len(owners)
+    def lines_of(r: tuple, owners: list[int]) -> Iterator[pd.DataFrame]:
+        if not (n := len(owners)):
+            return  # an empty file has no rows
         weight = list(r.complexity)[:n] + [0] * (n - len(r.complexity))
-        return pd.DataFrame({"path": [r.lineage] * n, "line_no": range(1, n + 1), "author_id": owners, "line_type": list(r.line_types), "complexity": weight})
+        yield pd.DataFrame({"path": [r.lineage] * n, "line_no": range(1, n + 1), "author_id": owners, "line_type": list(r.line_types), "complexity": weight})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs = lambda x: [(int(p["start"]), int(p["count"])) for p in x]
@@ -59,12 +60,12 @@ def replay(changes: DataFrame, baseline: DataFrame | None = None, renames: DataF
         for pdf in batches:
             for r in pdf.itertuples():
                 if last is not None and r.lineage != last.lineage:
-                    yield lines_of(last, owners)
+                    yield from lines_of(last, owners)
                     owners = []
                 owners = apply_diff(owners, len(r.line_types), pairs(r.added), pairs(r.removed), int(r.author_id))
                 last = r
         if last is not None:
-            yield lines_of(last, owners)
+            yield from lines_of(last, owners)
 
     ordered = own.repartition("lineage").sortWithinPartitions("lineage", "seq", "path")
     return ordered.mapInPandas(run, "path string, line_no int, author_id bigint, line_type int, complexity int")
