@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ from linespan.sinks import history as views
 from linespan.sources.config import Options, completion, options
 
 
+#: Fixed value: pairs that the table of all couplings shows.
+OVERVIEW = 15
+
+
 def timeline(series: DataFrame, who: str, by: str, kind: str) -> list[dict]:
     """All timelines for CSV and JSON; for a table the first ones, the others added up."""
     if kind in ("csv", "json"):
@@ -40,19 +45,24 @@ def authors(h: api.GitHistory, o: Options) -> str:
     return views.table(o.format, "authors", first + others + before) + f"Bus factor: {factor}\n"
 
 
-def history(spark, o: Options) -> str:
+def history(spark, o: Options) -> Iterator[str]:
+    """A history report piece by piece. The table of all couplings is a glance of ``OVERVIEW`` rows; all else is whole."""
     h = api.GitHistory(spark, o.paths[0], o.depth, not o.has("no_fold_authors"), api.rules_of(o))
     if o.coupling_for:
-        return views.table(o.format, "coupling-for", [r.asDict() for r in h.coupling_for(o.coupling_for).limit(50).collect()])
+        return views.pieces(o.format, "coupling-for", api.rows(h.coupling_for(o.coupling_for)))
     if o.has("coupling", "coupling_weighted"):
-        return views.table(o.format, "coupling", [r.asDict() for r in h.coupling(o.has("coupling_weighted")).limit(50).collect()])
+        pairs = h.coupling(o.has("coupling_weighted"))
+        if o.format in ("csv", "json"):
+            return views.pieces(o.format, "coupling", api.rows(pairs))
+        first, n = api.rows(pairs.limit(OVERVIEW)), pairs.count()
+        return iter([*views.pieces(o.format, "coupling", first), f"top {OVERVIEW} of {n} pairs\n" if n > OVERVIEW else ""])
     if o.has("hotspots"):
-        return views.table(o.format, "hotspots", [r.asDict() for r in h.hotspots().where("score > 0").limit(50).collect()])
+        return views.pieces(o.format, "hotspots", api.rows(h.hotspots().where("score > 0")))
     if o.has("by_author") and o.has("timeline"):
-        return views.series(o.format, "author", timeline(h.author_timeline(o.buckets), "author", "commits", o.format), o.has("ci"))
+        return iter([views.series(o.format, "author", timeline(h.author_timeline(o.buckets), "author", "commits", o.format), o.has("ci"))])
     if o.has("by_author"):
-        return authors(h, o)
-    return views.series(o.format, "language", [r.asDict() for r in h.language_timeline(o.buckets).collect()], o.has("ci"))
+        return iter([authors(h, o)])
+    return iter([views.series(o.format, "language", [r.asDict() for r in h.language_timeline(o.buckets).collect()], o.has("ci"))])
 
 
 def main(argv: list[str]) -> int:
@@ -82,7 +92,7 @@ def main(argv: list[str]) -> int:
         if o.report:
             out = [(o.report, iter([report.page(report.collect(spark, o), o)]))]
         elif o.has("hotspots", "coupling", "coupling_weighted", "by_author", "timeline") or o.coupling_for:
-            out = [(o.output, iter([history(spark, o)]))]
+            out = [(o.output, history(spark, o))]
         else:
             out = api.outputs(api.count(spark, o), o)
         for target, pieces in out:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from linespan import api
 from linespan.functions import text
 from linespan.operators import rollup
+from linespan.serve import card
 from linespan.sinks import render
 from linespan.sources.config import Options
 from linespan.sources.git import remote_name
 
-SECTIONS = ("languages", "files", "uloc", "lengths", "cost", "hotspots", "coupling", "authors", "timeline")
+SECTIONS = ("card", "languages", "files", "uloc", "lengths", "cost", "hotspots", "coupling", "authors", "timeline")
 #: Rows of the page's tables.
 ROWS = {"files": 12, "hotspots": 12, "coupling": 20, "authors": 12, "outliers": 10}
 
@@ -72,6 +73,13 @@ def _lines(rows: list[dict]) -> str:
 
 def page(data: dict[str, list[dict]], o: Options) -> str:
     title = html.escape(o.report_title or remote_name(o.paths[0]) or os.path.basename(os.path.abspath(o.paths[0])))
-    parts = [f"<h2>{name.capitalize()}</h2>" + (_lines(rows) if name == "timeline" else _table(rows)) for name, rows in data.items()]
+    pictures = {"languages": lambda rows: card.ring(card.parts(rows)), "lengths": card.bars}
+    parts = [f"<h2>{name.capitalize()}</h2>" + (_lines(rows) if name == "timeline" else pictures.get(name, lambda rows: "")(rows) + _table(rows)) for name, rows in data.items()]
+    share = ""
+    if "card" not in o.report_skip:
+        cost = f"{o.currency_symbol}{data['cost'][0]['cost']:,.0f}" if data.get("cost") else ""
+        picture = card.card(o.report_title or remote_name(o.paths[0]) or os.path.basename(os.path.abspath(o.paths[0])), data["languages"], cost)
+        share = f'<meta property="og:title" content="{title}"><meta property="og:image" content="{card.data_url(picture)}">'
+        parts.insert(0, picture.replace("<svg ", '<svg style="max-width:100%;height:auto" ', 1))
     style = "body{font:15px sans-serif;max-width:70rem;margin:2rem auto}table{border-collapse:collapse}td,th{padding:.2rem .6rem;border-bottom:1px solid #ddd;text-align:right}td:first-child,th:first-child{text-align:left}"
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>{style}</style></head><body><h1>{title}</h1>{"".join(parts)}</body></html>'
+    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{title}</title>{share}<style>{style}</style></head><body><h1>{title}</h1>{"".join(parts)}</body></html>'

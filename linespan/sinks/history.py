@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 
 from linespan.sinks.render import sparkline, trim_left
@@ -42,6 +43,28 @@ def table(kind: str, report: str, rows: list[dict]) -> str:
     return rule + line(text[0]) + rule + "".join(map(line, text[1:])) + rule
 
 
+def _csv(row: Iterable) -> str:
+    f = io.StringIO()
+    csv.writer(f, lineterminator="\n").writerow(row)
+    return f.getvalue()
+
+
+def pieces(kind: str, report: str, rows: Iterable[dict]) -> Iterator[str]:
+    """``table`` bit by bit: CSV and JSON hold one row at a time."""
+    if kind not in ("csv", "json"):
+        yield table(kind, report, list(rows))
+        return
+    heads = COLUMNS[report]
+    cells = ([_cell(r.get(c)) for c in heads.values()] for r in rows)
+    if kind == "csv":
+        yield _csv(heads)
+        yield from map(_csv, cells)
+    else:
+        yield "["
+        yield from (", " * (i > 0) + json.dumps(dict(zip(heads, r, strict=True)), ensure_ascii=False) for i, r in enumerate(cells))
+        yield "]"
+
+
 def tag(commits: list[int], last_share: float = 0.8) -> str:
     """'quiet N' for buckets without a commit at the end, 'rising' if the last is near the peak."""
     quiet = len(commits) - 1 - max((i for i, n in enumerate(commits) if n), default=-1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 import shlex
 from dataclasses import dataclass, field, replace
@@ -11,6 +12,7 @@ from linespan.functions.text import GENERATED_MARKERS
 from linespan.plans.history import DEPTH
 from linespan.sources.files import EXCLUDED_FOLDERS, EXCLUDED_NAMES, LARGE_BYTES, LARGE_LINES
 
+log = logging.getLogger("linespan")
 CONFIG_ENV, PROJECT_FILE = "LINESPAN_CONFIG_PATH", ".linespanconfig"
 #: What a file of flags may not set, so that a project can't make its reader write files.
 WRITES = ("output", "format_multi", "report")
@@ -178,9 +180,37 @@ def options(argv: list[str], environ: dict[str, str] | None = None, folder: str
     ))
 
 
+#: Flags of the counter that mean nothing to a history report.
+COUNTER_ONLY = ("by_file", "uloc", "dryness", "character", "no_duplicates", "min_gen", "min", "gen", "no_min_gen", "no_min", "no_gen", "no_cocomo", "locomo", "cost_comparison", "sloccount_format", "no_large")
+
+
+def _check_history(o: Options, flags: set[str]) -> None:
+    """One history report at a time (authors and timeline go together); what it can't use is named in a warning. Depth
+    and buckets are checked for hotspots, authors and timelines; a page needs its buckets too."""
+    if o.coupling_for or "coupling_weighted" in flags:
+        flags.add("coupling")
+    asked = [x for x in ("hotspots", "coupling") if x in flags] + ["by_author or timeline"] * bool(flags & {"by_author", "timeline"})
+    if len(asked) > 1:
+        raise ValueError(f"one report at a time: {', '.join(asked)}")
+    if o.report and o.buckets < 1:
+        raise ValueError("a timeline has a bucket at least")
+    if not flags & {"hotspots", "by_author", "timeline"}:
+        return
+    if o.depth < 0:
+        raise ValueError("depth is a number of commits, 0 for all")
+    if "timeline" in flags and o.buckets < 1:
+        raise ValueError("a timeline has a bucket at least")
+    if len(o.paths) > 1:
+        log.warning("history reports read one repository; left out: %s", ", ".join(o.paths[1:]))
+    unused = [f"--{f.replace('_', '-')}" for f in COUNTER_ONLY if f in flags] + ["--sort"] * (o.sort.strip().lower() not in ("", "files"))
+    if unused:
+        log.warning("history reports have no use for %s", ", ".join(unused))
+
+
 def normalise(o: Options) -> Options:
     """What flags imply, and checks."""
     flags = set(o.flags)
+    _check_history(o, flags)
     if "cost_comparison" in flags:
         flags |= {"locomo"}
         flags -= {"no_cocomo"}
@@ -196,13 +226,6 @@ def normalise(o: Options) -> Options:
         flags |= {"gen"}
     if "dryness" in flags:
         flags |= {"uloc"}
-    if o.depth < 0:
-        raise ValueError("depth is a number of commits, 0 for all")
-    if o.buckets < 1:
-        raise ValueError("a timeline has a bucket at least")
-    reports = [f for f in ("hotspots", "by_author", "coupling") if f in flags]
-    if len(reports) > 1:
-        raise ValueError(f"one report at a time: {', '.join(reports)}")
     return replace(o, flags=frozenset(flags), format="wide" if "wide" in flags and o.format == "tabular" else o.format)
 
 

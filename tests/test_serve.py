@@ -1,11 +1,15 @@
+import base64
 import io
 import json
+import math
+import re
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
 from linespan import cli
 from linespan.functions import cost, text
-from linespan.serve import badge, report, tools
+from linespan.serve import badge, card, report, tools
 from linespan.sinks import history, render
 from linespan.sources.config import Options
 from linespan.streaming import live
@@ -92,6 +96,7 @@ def test_report_and_cli(spark, tmp_path, capsys):
     (tmp_path / "a.py").write_text("if x:\n    pass\n")
     data = report.collect(spark, Options(paths=(str(tmp_path),)))
     page = report.page(data, Options(paths=(str(tmp_path),), report_title="<T>"))
+    assert "og:image" in page and "og:image" not in report.page(data, Options(paths=(str(tmp_path),), report_skip=("card",)))
     assert "&lt;T&gt;" in page and "Python" in page and sum(r["lines"] for r in data["lengths"]) == 2
     assert cli.main([str(tmp_path), "-f", "csv", "--no-config"]) == 0
     assert "Python,2,2,0,0" in capsys.readouterr().out
@@ -99,6 +104,29 @@ def test_report_and_cli(spark, tmp_path, capsys):
     assert cli.main(["-l", "--no-config"]) == 0 and "Python (py" in capsys.readouterr().out
 
 
+def test_history_pieces():
+    rows = [{"a": "x,1", "b": "y", "shared": 2, "commits_a": 3, "commits_b": 3, "degree": 50.04}, {"a": "p", "b": None}]
+    for kind in ("csv", "json", "tabular"):
+        for some in (rows, rows[:1], []):
+            assert "".join(history.pieces(kind, "coupling", iter(some))) == history.table(kind, "coupling", some)
+
+
+def test_card_and_pictures():
+    rows = [{"language": f"L{i}", "code": i, "files": 1, "lines": 2 * i, "complexity": 0} for i in range(10)]
+    shares = card.parts(rows)
+    assert [n for n, _, _ in shares] == ["L9", "L8", "L7", "L6", "L5", "L4", "other"] and sum(n for _, n, _ in shares) == 45
+    arcs = [float(x) for x in re.findall(r'dasharray="([0-9.]+) ', card.ring(shares))]
+    assert len(arcs) == 7 and abs(sum(arcs) - 2 * math.pi * 60) < 0.1
+    assert card.ring([]) == "" and card.bars([]) == "" and card.bars([{"low": 0, "lines": 0}]) == ""
+    high = [float(x) for x in re.findall(r'<rect [^>]*height="([0-9.]+)"', card.bars([{"low": 0, "lines": 1}, {"low": 20, "lines": 4}]))]
+    assert high == [30, 120]
+    picture = card.card("<T>", rows, "$1")
+    ElementTree.fromstring(picture)
+    assert "&lt;T&gt;" in picture and ">90<" in picture and "$1" in picture
+    ElementTree.fromstring(card.card("none", []))
+    assert base64.b64decode(card.data_url(picture).partition(",")[2]).decode() == picture
+
+
 def test_streams(spark, tmp_path):
     df = spark.createDataFrame([("a", "x\n\ny"), ("a", ""), ("b", "z")], "language string, content string")
     df.write.parquet(str(tmp_path / "in"))

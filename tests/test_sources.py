@@ -82,7 +82,7 @@ def test_several_formats(spark, folder):
     assert [t for t, _ in api.write(api.count(spark, o), o)] == ["", "out.json"]
 
 
-def test_config(tmp_path):
+def test_config(tmp_path, caplog):
     (tmp_path / "global").write_text("--sort name # c\n--output x.txt\n-c")
     (tmp_path / config.PROJECT_FILE).write_text("--sort code\n--exclude-dir 'a b/'")
     env = {config.CONFIG_ENV: str(tmp_path / "global")}
@@ -93,9 +93,14 @@ def test_config(tmp_path):
     o = options(["--no-min-gen", "-a", "--wide", "--remap-all", "'-*- C++':C Header", "--count-as", "jsp:html"], {}, "/")
     assert o.has("no_min") and o.has("no_gen") and o.has("gen") and o.has("uloc") and o.format == "wide"
     assert o.remap_all == (("-*- C++", "C Header"),) and o.count_as == {"jsp": "html"}
-    for bad in (["--depth=-1"], ["--buckets=0"], ["--hotspots", "--coupling"]):
+    for bad in (["--hotspots", "--depth=-1"], ["--timeline", "--buckets=0"], ["--hotspots", "--coupling"], ["--coupling-for", "a", "--timeline"], ["--hotspots", "--by-author"], ["--report", "x.html", "--buckets=0"]):
         with pytest.raises(ValueError):
             options(bad, {}, "/")
+    assert options(["--depth=-1", "--coupling"], {}, "/").depth == -1 and options(["--coupling-weighted"], {}, "/").has("coupling")
+    assert options(["--by-author", "--timeline"], {}, "/").has("timeline") and options(["--by-author", "--buckets=0"], {}, "/").buckets == 0
+    with caplog.at_level("WARNING", "linespan"):
+        options(["a", "b", "c", "--hotspots", "--uloc", "--no-min", "--sort", "code"], {}, "/")
+    assert [r.message.rpartition(" for ")[2] for r in caplog.records][-1] == "--uloc, --no-min, --sort" and caplog.messages[0].endswith(": b, c")
     assert config.similar("by-fil", ["by-file", "uloc"]) == ["by-file"]
 
 
