@@ -98,6 +98,11 @@ def hotspots(changes: DataFrame, head: DataFrame) -> DataFrame:
     still there. ``changes``: seq, path, author_key, lines_changed, code_churn, comment_churn. The score is complexity
     times commits, the highest being 100."""
     each = changes.groupBy("path").agg(F.count(F.lit(1)).alias("commits"), *[F.sum(c).cast("long").alias(c) for c in ("lines_changed", "code_churn", "comment_churn")], F.count_distinct("author_key").alias("authors"))
+    return scored(each, head)
+
+
+def scored(each: DataFrame, head: DataFrame) -> DataFrame:
+    """``hotspots`` from a row for each path: path, commits, lines_changed, code_churn, comment_churn, authors."""
     raw = each.join(head.select("path", "language", "complexity"), "path").withColumn("_raw", F.col("complexity") * F.col("commits"))
     most = raw.agg(F.max("_raw").alias("_most"))  # one row
     score = F.when(F.col("_most") > 0, F.col("_raw") / F.col("_most") * 100).otherwise(0.0)

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linespan.functions import text
 from linespan.operators import rollup
+from linespan.plans import history
 
 
 def with_counts(files: DataFrame) -> DataFrame:
@@ -31,3 +32,18 @@ def each_batch(files: DataFrame, write: Callable[[DataFrame, int], None], checkp
 def activity(events: DataFrame, ts: str, who: str, slice_: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Commits of each author in slices of time; slices are given out once nothing as late as ``late`` can change them."""
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).groupBy(F.window("_ts", slice_).alias("slice"), F.col(who)).agg(F.count(F.lit(1)).alias("commits"))
+
+
+def observe(changes: DataFrame, sink: str, name: str, checkpoint: str = "") -> StreamingQuery:
+    """Takes in a stream of changes (seq, path, author_key, lines_changed, code_churn, comment_churn) as commits come. Its
+    state is a row for each path and author, sums alone, so authors need not be gathered to be counted."""
+    sums = [F.sum(c).cast("long").alias(c) for c in ("lines_changed", "code_churn", "comment_churn")]
+    seen = changes.groupBy("path", "author_key").agg(F.count(F.lit(1)).alias("commits"), *sums)
+    out = seen.writeStream.outputMode("complete").format(sink).queryName(name)
+    return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
+
+
+def finalise(observed: DataFrame, head: DataFrame) -> DataFrame:
+    """The hotspots of what was observed so far, as ``history.hotspots`` has them of all changes at once."""
+    sums = [F.sum(c).cast("long").alias(c) for c in ("commits", "lines_changed", "code_churn", "comment_churn")]
+    return history.scored(observed.groupBy("path").agg(*sums, F.count("author_key").alias("authors")), head)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from linespan import cli
 from linespan.functions import cost, text
+from linespan.plans import history as plans
 from linespan.serve import badge, card, report, tools
 from linespan.sinks import history, render
 from linespan.sources.config import Options
@@ -142,6 +143,25 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 3
 
 
+def test_observed_hotspots_are_those_of_all_changes(spark, tmp_path):
+    kind = "seq bigint, path string, author_key string, lines_changed bigint, code_churn bigint, comment_churn bigint"
+    first = [(0, "a", "x", 5, 3, 1), (0, "b", "x", 1, 1, 0), (1, "a", None, 2, 0, 2)]
+    later = [(2, "a", "x", 7, 7, 0), (3, "b", "y", 4, 2, 2), (4, "gone", "y", 9, 9, 0)]
+    head = spark.createDataFrame([("a", "Go", 3), ("b", "C", 4), ("still", "C", 9)], "path string, language string, complexity bigint")
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(first, kind).write.parquet(folder)
+    q = live.observe(spark.readStream.schema(kind).parquet(folder), "memory", "observed")
+    try:
+        for so_far, more in ((first, later), (first + later, [])):
+            q.processAllAvailable()
+            got = live.finalise(spark.table("observed"), head).orderBy("path").collect()
+            assert got == plans.hotspots(spark.createDataFrame(so_far, kind), head).orderBy("path").collect() and len(got) == 2
+            if more:
+                spark.createDataFrame(more, kind).write.mode("append").parquet(folder)
+    finally:
+        q.stop()
+
+
 def test_badge_figures():
     assert [badge.short(n) for n in (0, 999, 1000, 1001, 9_950, 12_345, 999_999, 3_456_789, 2e9, 7e12)] == ["0", "999", "1.0k", "1.1k", "10k", "12k", "1000k", "3.5M", "2.0G", "7.0T"]
 
