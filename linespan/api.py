@@ -96,11 +96,13 @@ def outputs(files: DataFrame, o: Options) -> Iterator[tuple[str, Iterator[str]]]
     log.debug("%d languages in %.2f s", len(languages), time.time() - began)
     unique = rollup.unique_lines(files.withColumn("content", F.col("content").cast("string")), []).first()[0] if o.has("uloc") else None
     pairs = [p.partition(":")[::2] for p in o.format_multi.split(",") if p] or [(o.format, o.output)]
-    slim = rollup.sort_files(files.drop("content", "content_hash"), o.sort if o.sort not in ("files", "count") else "lines")
+    slim = files.drop("content", "content_hash")
+    by_figure = rollup.sort_files(slim, o.sort if o.sort not in ("files", "count") else "lines")
+    by_name = rollup.sort_csv_files(slim, o.sort, o.has("cognitive"))
     for kind, target in pairs:
         log.debug("format %s to %s", kind, target or "the standard output")
         more = {"unique": unique, "project": o.sql_project or ",".join(o.paths), "now": datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), "seconds": time.time() - began}
-        yield "" if target in ("", "stdout") else target, render.parts(kind, languages, style(o), rows(slim), o.has("by_file"), **more)
+        yield "" if target in ("", "stdout") else target, render.parts(kind, languages, style(o), rows(by_name if kind.lower() == "csv" else by_figure), o.has("by_file"), **more)
     files.unpersist()
     log.debug("done in %.2f s", time.time() - began)
 

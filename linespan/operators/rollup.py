@@ -54,6 +54,21 @@ def sort_files(files: DataFrame, by: str = "lines") -> DataFrame:
     return files.orderBy("language", "location") if key == "language" else files.orderBy(F.desc("lines" if key == "files" else key), "location")
 
 
+#: Sort orders of the CSV of files that go by a figure, the largest first; languages go by name, all others by filename.
+CSV_SORTS = {"line": "lines", "lines": "lines", "blank": "blank", "blanks": "blank", "code": "code", "codes": "code", "comment": "comment", "comments": "comment", "complexity": "complexity", "complexitys": "complexity", "cognitive": "cognitive", "cognitives": "cognitive", "byte": "bytes", "bytes": "bytes"}
+
+
+def sort_csv_files(files: DataFrame, by: str = "files", cognitive: bool = False) -> DataFrame:
+    """By filename unless something else is asked for; ties go by location. Complexity is the cognitive one where that
+    is shown, and there is no order by it where it isn't."""
+    key = CSV_SORTS.get(by)
+    if by in ("language", "languages", "lang", "langs"):
+        return files.orderBy("language", "location")
+    if key is None or (key == "cognitive" and not cognitive):
+        return files.orderBy("filename", "location")
+    return files.orderBy(F.desc("cognitive" if key == "complexity" and cognitive else key), "location")
+
+
 def top_files(files: DataFrame, each: int = 10, by: str = "lines") -> DataFrame:
     """The first ``each`` files of every language, with their rank. A rank with a limit is cut in every partition before
     the shuffle, so a large language costs no more than ``each`` rows of each partition."""

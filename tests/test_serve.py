@@ -1,4 +1,5 @@
 import base64
+import csv
 import io
 import json
 import math
@@ -7,12 +8,12 @@ from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
-from linespan import cli
+from linespan import api, cli
 from linespan.functions import cost, text
 from linespan.plans import history as plans
 from linespan.serve import badge, card, report, tools
 from linespan.sinks import history, render
-from linespan.sources.config import Options
+from linespan.sources.config import Options, options
 from linespan.streaming import live
 
 
@@ -128,6 +129,18 @@ def test_card_and_pictures():
     assert base64.b64decode(card.data_url(picture).partition(",")[2]).decode() == picture
 
 
+def test_csv_of_files_goes_by_name(spark, tmp_path):
+    for name, lines in (("x/b.py", 1), ("y/a.py", 2), ("z/a.py", 3), ("z/c.sh", 9)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("a = 1\n" * lines + f"# {name}\n")
+    def order(*flags):
+        o = options([str(tmp_path), "--by-file", "-f", "csv", "--no-config", *flags], {}, "/")
+        return [r["Provider"].removeprefix(f"{tmp_path}/") for r in csv.DictReader(io.StringIO(api.write(api.count(spark, o), o)[0][1]))]
+    assert order() == order("--sort", "cognitive") == ["y/a.py", "z/a.py", "x/b.py", "z/c.sh"]
+    assert order("--sort", "code") == ["z/c.sh", "z/a.py", "y/a.py", "x/b.py"]
+    assert order("--sort", "langs") == ["x/b.py", "y/a.py", "z/a.py", "z/c.sh"]
+
+
 def test_streams(spark, tmp_path):
     df = spark.createDataFrame([("a", "x\n\ny"), ("a", ""), ("b", "z")], "language string, content string")
     df.write.parquet(str(tmp_path / "in"))
