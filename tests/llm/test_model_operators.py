@@ -183,6 +183,69 @@ def test_toxicity_never_learns_from_the_test_fold(spark):
     assert seen and held and not held & {t for t, _, _ in seen}
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """However many there are, and however long."""
+    rows = [(i, f"x{i}", int(i % 9 == 0)) for i in range(5000)] + [(5001, "long " * 6000, 1), (5003, "", 0), (5004, None, 1), (5005, "twice", 0), (5005, "twice", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in {r[0]: r for r in rows}.values()], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", seen.extend)
+    toxicity.fit(docs, labels)
+    out = {r.doc_id for r in docs.where(held_out(F.col("doc_id"), 4, 2)).collect()}
+    assert Counter((t, y) for t, y, _ in seen) == Counter((t, y) for i, t, y in rows if i not in out and t is not None)
+
+
+def _shards(rows, n, most):
+    batch = toxicity.pa.RecordBatch.from_pylist([dict(zip(("shard", "doc_id", "text", "toxic", "lang"), r, strict=True)) for r in rows])
+    before, toxicity.SHARD = toxicity.SHARD, most
+    try:
+        return list(toxicity.Shard.of(toxicity._packed(iter([batch]), n)))
+    finally:
+        toxicity.SHARD = before
+
+
+def test_toxicity_shards_hold_all():
+    """Each text with each of its id's labels; texts let through without a label are not learned."""
+    rows = [(0, 1, None, 0, None), (0, 1, None, 1, None), (0, 1, "a b", None, "en"), (0, 2, "no label", None, "en"), (1, 3, None, 1, None)]
+    rows += [(1, 3, f"c{k} d", None, None) for k in range(5)] + [(1, 4, None, 0, None), (1, 4, "", None, "de"), (2, 5, None, 1, None), (3, 6, "no label", None, None)]
+    got = _shards(rows, 4, (1, 1000))
+    assert [(s.number, len(s.docs), s.truth.tolist(), s.languages) for s in got] == [(0, 2, [0, 1], ["en", "en"]), (1, 2, [1, 1], [None] * 2), (5, 2, [1, 1], [None] * 2), (9, 2, [1, 0], [None, "de"])]
+    words = toxicity.rows_of("c4"), toxicity.rows_of("d")
+    assert [tuple(r) for r in got[-1].rows[got[-1].docs[0]]] == [tuple(w) for w in words] and len(got[-1].docs[1]) == 0
+
+
+def test_toxicity_learns_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ON_DRIVER", (0, 0))
+    monkeypatch.setattr(toxicity, "SHARD", (250, 1 << 20))
+    monkeypatch.setattr(toxicity, "STEPS", 80)
+    made = _made(1200)
+    docs = spark.createDataFrame([(i, t, g) for i, (t, _, g) in enumerate(made)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y, _) in enumerate(made)], "doc_id bigint, toxic int")
+    m, again = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(5), labels.repartition(3))
+    held = _made(300, seed=9)
+    s = toxicity.Reader(m).scores([t for t, _, _ in held])
+    assert ((s >= 0.3) == np.array([y for _, y, _ in held])).mean() > 0.95
+    assert set(m.by_language) == {"en"}  # of the other language none is toxic
+    assert np.array_equal(m.table, again.table) and np.array_equal(m.out, again.out) and (m.shift, m.by_language) == (again.shift, again.by_language)
+    out = {r.doc_id for r in docs.where(held_out(F.col("doc_id"), 4, 2)).collect()}
+    uses = Counter(r for i, (t, _, _) in enumerate(made) if i not in out for r in {r for w in t.lower().split() for r in toxicity.rows_of(w)} - {0})
+    assert set(np.flatnonzero(m.table.any(1))) == {r for r, k in uses.items() if k >= toxicity.RARE}
+    clean = toxicity.fit(docs, labels.where("toxic = 0"))
+    assert len({*toxicity.Reader(clean).scores(["grumpf", "", "w1"])}) == 1
+
+
+def test_toxicity_learns_from_long_texts_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = toxicity._new(rng)
+    m.table[1:] = rng.normal(size=m.table[1:].shape)
+    rows = np.concatenate([np.zeros((1, 4), int), rng.integers(1, toxicity.BUCKETS, (60, 4))])
+    docs = [rng.integers(1, 61, n).astype(np.int32) for n in (0, 1, 2, 19, 20, 21, 22, 23, 38, 200, 5)]
+    whole = toxicity._windows(m, rows, *toxicity._lay_out(docs))
+    monkeypatch.setattr(toxicity, "CHUNK", 20)
+    top, won = toxicity._read(m, rows, docs)
+    assert np.allclose(top, whole[0], atol=1e-5) and all(np.array_equal(a, b) for a, b in zip(won, whole[1], strict=True))
+
+
 # --- embeddings
 
 
