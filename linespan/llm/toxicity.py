@@ -5,8 +5,8 @@ is learned of their stem. Filters of several widths run over the words, each kee
 and a logistic layer makes the score. Training (by Adam, gradients through the maxima) reads every labelled document
 outside the test fold, however many and however long: a few on the driver, more in shards. In a round each shard goes on
 from the common model with its own documents, and a parameter's next value is the mean over the shards that moved it. For
-reading, a word that is first met is multiplied by all filters, so that it costs one row lookup for each position of a
-filter from then on.
+reading, Arrow splits many texts together and numbers their different words; only these are hashed and multiplied by all
+filters, and each word of a text costs one row lookup for each position of a filter.
 
 Every one of these documents also calibrates: beside the model, two others learn from one half each, and score the half
 they have not seen. By these scores 0.3 becomes the best threshold over all languages, and each language has one of its own.
@@ -16,12 +16,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ from linespan.llm.common import drop_written, held_out, materialise, small_batch
 BUCKETS, DIM = 1 << 16, 16
 #: Beside the word itself its first letters, so many, are hashed.
 PREFIXES = (4, 5, 6)
-WIDTHS, FILTERS = (1, 2, 3), 12
+WIDTHS, FILTERS = (1, 2, 3), 12  # all widths from 1 on
 #: Up to so many labelled documents and bytes of their texts are learned on the driver; a shard of more holds about so many.
 ON_DRIVER, SHARD = (4_096, 32 << 20), (8_192, 32 << 20)
 #: A row is rare if fewer labelled documents use it.
@@ -47,8 +50,10 @@ THRESHOLD = 0.3
 #: rows of the table; logits are counted in steps of this.
 STEP, BLOCK, GRID = 1 / (1 << 20), 1024, 1 / 256
 FOLDS, TEST_FOLD = 4, 2
-#: Different words a worker remembers; words that are read at once.
+#: Different words that are multiplied by the filters together; words that are read at once.
 REMEMBERED, CHUNK = 200_000, 200_000
+#: Longer words are hashed singly, others so many together; filters run over so many words.
+LONG, AT_ONCE, BLOCK_WORDS = 40, 8_192, 16_384
 BLANK = re.compile(r"\s")
 EDGES = ".,;:!?\"'()[]{}<>*_-…¡¿«»„“”‚‘’"
 PAD = max(WIDTHS) - 1
@@ -62,21 +67,99 @@ def rows_of(word: str) -> list[int]:
     return out + [0] * (1 + len(PREFIXES) - len(out))
 
 
-class Words(dict):
+#: What a byte does to a CRC; what the letters' number in front of first letters of so many bytes does to it.
+CRC = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
+AHEAD = np.array([[zlib.crc32(f"{n}:".encode() + bytes(k)) ^ zlib.crc32(bytes(k)) for k in range(4 * n + 1)] + [0] * 4 * (max(PREFIXES) - n) for n in PREFIXES], np.uint32)
+
+
+def all_rows_of(words: list[str] | pa.Array) -> np.ndarray:
+    """``rows_of`` for many words at once, byte by byte: one CRC runs over each word and is looked at again where its first
+    letters end. Words of more than ``LONG`` letters are taken singly."""
+    try:
+        words = pa.array(words, pa.large_string())
+    except UnicodeEncodeError:  # halves of surrogate pairs
+        return np.array([rows_of(w) for w in words], np.int32)
+    if len(words) > AT_ONCE:
+        return np.concatenate([all_rows_of(words[k : k + AT_ONCE]) for k in range(0, len(words), AT_ONCE)])
+    bare = pc.utf8_trim(words, characters=EDGES)
+    bare = pc.if_else(pc.equal(bare, ""), words, bare)
+    long = np.flatnonzero(pc.utf8_length(bare).to_numpy() > LONG)
+    if len(long):
+        bare = pc.if_else(pc.greater(pc.utf8_length(bare), LONG), "", bare)
+    n = pc.utf8_length(bare).to_numpy().astype(np.int64)
+    _, offsets, data = bare.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[bare.offset : bare.offset + len(bare) + 1] if len(bare) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    letter = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each begins
+    first = np.cumsum(n) - n
+    start = letter[first]
+    size = letter[first + n] - start
+    order = np.argsort((4 * LONG - size).astype(np.uint8), kind="stable")  # the longest first
+    at, ends = start[order], size[order]
+    most = int(ends[:1].sum())
+    going = np.searchsorted(-ends, -np.arange(most), "left")  # words that have a further byte
+    crc = np.full((most + 1, len(words)), 0xFFFFFFFF, np.uint32)
+    for i, k in enumerate(going):
+        crc[i + 1, :k] = CRC[(crc[i, :k] ^ data[at[:k] + i]) & 0xFF] ^ (crc[i, :k] >> 8)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    found = [~crc[size, place]]
+    for k, ahead in zip(PREFIXES, AHEAD, strict=True):
+        own = letter[first + np.minimum(k, n)] - start
+        found.append(~crc[own, place] ^ ahead[own])
+    out = 1 + (np.stack(found, 1) % (BUCKETS - 1)).astype(np.int32)
+    out[:, 1:][n[:, None] < PREFIXES] = 0
+    for i in long:
+        out[i] = rows_of(words[int(i)].as_py())
+    return out
+
+
+def numbered(texts: list[str]) -> tuple[list[np.ndarray], list[str] | pa.Array]:
+    """The words of lower-cased texts as numbers from 0, and the words in the order they are met. Arrow knows the same white
+    space as ``str.split``, but gives an empty word where a text begins or ends with it."""
+    if not texts:
+        return [], []
+    try:
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+    except UnicodeEncodeError:  # halves of surrogate pairs
+        words = Words()
+        return [words.of(t.split()) - 1 for t in texts], [*words]
+    flat = split.flatten().dictionary_encode()
+    ids, met, bounds = flat.indices.to_numpy(), flat.dictionary, split.offsets.to_numpy()
+    empty = pc.index(met, "").as_py()
+    if empty >= 0:
+        keep = ids != empty
+        bounds = np.append(0, np.cumsum(keep))[bounds]
+        ids = ids[keep]
+        ids = ids - (ids > empty)
+        met = pa.concat_arrays([met[:empty], met[empty + 1 :]])
+    return np.split(ids, bounds[1:-1]), met
+
+
+class Words(defaultdict):
     """Numbers words in the order they are met, from 1 (0 stands between documents)."""
 
     def __init__(self):
-        super().__init__()
-        self.rows: list[list[int]] = [[0] * (1 + len(PREFIXES))]
-
-    def __missing__(self, word: str) -> int:
-        out = self[word] = len(self.rows)
-        self.rows.append(rows_of(word))
-        return out
+        super().__init__(count(1).__next__)
+        self._rows = np.zeros((1, 1 + len(PREFIXES)), np.int32)
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
+    def of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The same for the words of lower-cased texts."""
+        ids, met = numbered(texts)
+        among = self.of(met if isinstance(met, list) else met.to_numpy(zero_copy_only=False).tolist())
+        return [among[i] for i in ids]
+
+    @property
+    def rows(self) -> np.ndarray:
+        """The rows of each number; those of new words are looked up here, together."""
+        new = [*islice(reversed(self), len(self) + 1 - len(self._rows))][::-1]
+        if new:
+            self._rows = np.concatenate([self._rows, all_rows_of(new)])
+        return self._rows
+
 
 def in_parts(text: str, most: int | None = None) -> Iterator[tuple[list[str], bool]]:
     """The words of a text in parts of ``most`` at most, and whether a part is the last; each begins with the last ``PAD``
@@ -126,20 +209,52 @@ def _lay_out(docs: list[np.ndarray], cut: list[bool] | None = None) -> tuple[np.
     return ids, start, np.maximum(1, size - PAD * np.array(cut or [False] * len(docs)))
 
 
-def _pooled(taps: list[list[np.ndarray]], ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(documents, filters): the maxima over each document's windows, and the filters' values at every position."""
-    values = []
-    for own in taps:
-        v = own[0][ids]
-        for k, t in enumerate(own[1:], 1):
-            v[: len(ids) - k] += t[ids[k:]]
-        values.append(v)
-    bounds = np.stack([start, start + n], 1).reshape(-1)
-    return np.concatenate([np.maximum.reduceat(v, bounds, axis=0)[::2] for v in values], axis=1), values
+def _blocks(sizes: list[int]) -> Iterator[slice]:
+    """Neighbours that have ``BLOCK_WORDS`` words together, or one that has more."""
+    start = n = 0
+    for i, k in enumerate(sizes):
+        if i > start and n + k > BLOCK_WORDS:
+            yield slice(start, i)
+            start, n = i, 0
+        n += k
+    yield slice(start, len(sizes))
+
 
+def _values(taps: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """(positions, filters): the filters' values at every position."""
+    v = taps[0].take(ids, axis=0)
+    for k, t in enumerate(taps[1:], 1):
+        v[: len(ids) - k, k * FILTERS :] += t.take(ids[k:], axis=0)
+    return v
 
-def _taps(words: np.ndarray, filters: list[np.ndarray]) -> list[list[np.ndarray]]:
-    return [[words @ f[k] for k in range(len(f))] for f in filters]
+
+def _pooled(taps: list[np.ndarray], ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(documents, filters): the maxima over each document's windows."""
+    v = _values(taps, ids)
+    return np.stack([v[a : a + k].max(0) for a, k in zip(start, n, strict=True)])
+
+
+def _taps(words: np.ndarray, filters: list[np.ndarray]) -> list[np.ndarray]:
+    """For each place in a window what a word there adds to the filters that are as wide, one width after the other."""
+    return [words @ np.concatenate([f[k] for f in filters if len(f) > k], axis=1) for k in range(max(WIDTHS))]
+
+
+def _embedded(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Words' embeddings: sums over their rows."""
+    out = table.take(rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        out += table.take(rows[:, k], axis=0)
+    return out
+
+
+def _met(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers, all below ``most``, in order, and the place of each number among them."""
+    mark = np.zeros(most, bool)
+    mark[ids] = True
+    met = np.flatnonzero(mark)
+    place = np.empty(most, np.int32)
+    place[met] = np.arange(len(met), dtype=np.int32)
+    return met, place[ids]
 
 
 def _logits(m: Model, top: np.ndarray) -> np.ndarray:
@@ -149,13 +264,11 @@ def _logits(m: Model, top: np.ndarray) -> np.ndarray:
 def _windows(m: Model, rows: np.ndarray, ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """(documents, filters): the maxima of documents that are laid out; for each width (documents, FILTERS, width): the words
     of the windows they lie in."""
-    met, local = np.unique(ids, return_inverse=True)
-    top, values = _pooled(_taps(m.table[rows[met]].sum(1), m.filters), local, start, n)
-    won = []
-    for w, v in enumerate(values, 1):
-        at = np.stack([a + v[a : a + k].argmax(0) for a, k in zip(start, n, strict=True)])
-        won.append(ids[np.minimum(at[:, :, None] + np.arange(w), len(ids) - 1)])
-    return top, won
+    met, local = _met(ids, len(rows))
+    v = _values(_taps(_embedded(m.table, rows[met]), m.filters), local)
+    at = np.stack([a + v[a : a + k].argmax(0) for a, k in zip(start, n, strict=True)])
+    own = [at[:, i * FILTERS : (i + 1) * FILTERS, None] for i in range(len(WIDTHS))]
+    return np.take_along_axis(v, at, axis=0), [ids[np.minimum(a + np.arange(w), len(ids) - 1)] for w, a in zip(WIDTHS, own, strict=True)]
 
 
 def _read(m: Model, rows: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -202,7 +315,7 @@ def _back(m: Model, rows: np.ndarray, top: np.ndarray, won: list[np.ndarray], tr
     dact = d[:, None] * m.out * (act > 0)
     grads = {"out": act.T @ d, "out_bias": d.sum(keepdims=True), "bias": dact.sum(0)}
     met, place = np.unique(np.concatenate([w.reshape(-1) for w in won]), return_inverse=True)
-    words, dwords = m.table[rows[met]].sum(1), np.zeros((len(met), DIM), m.table.dtype)
+    words, dwords = _embedded(m.table, rows[met]), np.zeros((len(met), DIM), m.table.dtype)
     seen = 0
     for i, (f, ids) in enumerate(zip(m.filters, won, strict=True)):
         own, at = dact[:, i * FILTERS : (i + 1) * FILTERS], place[seen : seen + ids.size].reshape(ids.shape)
@@ -259,9 +372,12 @@ def _best(logits: np.ndarray, toxic: np.ndarray, of: np.ndarray | None = None) -
 
 def _uses(docs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     """By how many documents each row of the table is used."""
-    out = np.zeros(BUCKETS, np.int64)
+    out, mark = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool)
     for d in docs:
-        out[np.unique(rows[np.unique(d)])] += 1
+        mark[rows[d]] = True
+        at = np.flatnonzero(mark)
+        out[at] += 1
+        mark[at] = False
     return out
 
 
@@ -291,11 +407,11 @@ def train(rows: list[tuple[str, int, str | None]], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     m = _new(rng)
     words = Words()
-    docs = [words.of(t.lower().split()) for t, _, _ in rows]
+    docs = words.of_texts([t.lower() for t, _, _ in rows])
     truth = np.array([float(y) for _, y, _ in rows])
     if len(set(truth)) < 2 or len(rows) < RARE:
         return _constant(m, len(truth) > 0 and bool(truth.all()))
-    uses = np.array(words.rows, dtype=np.int32)
+    uses = words.rows.copy()
     rare = _uses(docs, uses) < RARE
     rare[0] = True
     m.table[rare] = 0
@@ -360,12 +476,20 @@ def _packed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     follow each other, and an id's labels (without text) come before its texts (without label). What is left of a shard that
     gets twice as long as it should, as ids may repeat, is a further one of the same half."""
     words, docs, truth, languages, number, size = Words(), [], [], [], None, 0
-    labelled, labels = None, []
+    labelled, labels, waiting = None, [], 0
+    ahead: list[str] = []  # texts whose words aren't numbered yet
+
+    def number_words() -> None:
+        nonlocal waiting
+        docs.extend(words.of_texts(ahead))
+        ahead.clear()
+        waiting = 0
 
     def packed() -> Iterator[pa.RecordBatch]:
         nonlocal words, docs, truth, languages, size
-        if docs:
-            yield Shard(number, docs, np.array(words.rows), np.array(truth), languages).packed()
+        if truth:
+            number_words()
+            yield Shard(number, docs, words.rows, np.array(truth), languages).packed()
         words, docs, truth, languages, size = Words(), [], [], [], 0
 
     for b in batches:
@@ -378,13 +502,16 @@ def _packed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
                 labelled = i
                 continue
             for label in labels if labelled == i else ():
-                if len(docs) >= 2 * SHARD[0] or size >= 2 * SHARD[1]:
+                if len(truth) >= 2 * SHARD[0] or size >= 2 * SHARD[1]:
                     yield from packed()
                     number += n
-                docs.append(words.of(text.lower().split()))
+                ahead.append(text.lower())
                 truth.append(label)
                 languages.append(g)
                 size += len(text)
+                waiting += len(text)
+                if waiting > 4 * CHUNK:
+                    number_words()
     yield from packed()
 
 
@@ -565,46 +692,40 @@ def _score(logits: np.ndarray, m: Model) -> np.ndarray:
 class Reader:
     def __init__(self, m: Model):
         self.m = m
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words, self.known = Words(), 0
-        self.taps = [[np.zeros((0, FILTERS), np.float32) for _ in f] for f in self.m.filters]
-
-    def _learn(self) -> None:
-        """Filter values of the words met since the last call."""
-        if self.known < len(self.words.rows):
-            new = _taps(self.m.table[np.array(self.words.rows[self.known :], dtype=np.int32)].sum(1), self.m.filters)
-            for own, more in zip(self.taps, new, strict=True):
-                for t, x in enumerate(more):
-                    if len(own[t]) < self.known + len(x):  # room for as many again
-                        own[t] = np.concatenate([own[t][: self.known], np.zeros((self.known + 2 * len(x), FILTERS), np.float32)])
-                    own[t][self.known : self.known + len(x)] = x
-            self.known = len(self.words.rows)
+
+    def _taps(self, met: list[str] | pa.Array) -> list[np.ndarray]:
+        """Of different words, behind those of no word."""
+        pieces = [_taps(_embedded(self.m.table, all_rows_of(met[k : k + REMEMBERED])), self.m.filters) for k in range(0, len(met), REMEMBERED)]
+        return [np.concatenate([np.zeros((1, (len(WIDTHS) - k) * FILTERS), self.m.table.dtype), *(p[k] for p in pieces)]) for k in range(max(WIDTHS))]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Scores of whole texts; very long ones are read in parts whose maxima are joined."""
         top = np.full((len(texts), len(self.m.bias)), -np.inf, np.float32)
-        parts, which, ends, n = [], [], [], 0
+        parts: list[str] = []
+        which: list[int] = []
+        cut: list[bool] = []
 
         def read() -> None:
-            nonlocal parts, which, ends, n
-            if parts:
-                self._learn()
-                np.maximum.at(top, which, _pooled(self.taps, *_lay_out(parts, [not end for end in ends]))[0])
-                parts, which, ends, n = [], [], [], 0
-            if self.known > REMEMBERED:
-                self._forget()
-
+            ids, met = numbered(parts)
+            taps = self._taps(met)
+            for own in _blocks([len(d) for d in ids]):
+                best = _pooled(taps, *_lay_out([d + 1 for d in ids[own]], cut[own]))
+                np.maximum.at(top, which[own], best)
+            parts.clear(), which.clear(), cut.clear()
+
+        n = 0
         for i, t in enumerate(texts):
-            for words, end in in_parts(t):
-                if n + len(words) > CHUNK:
+            whole = [(t.lower(), True)] if len(t) <= CHUNK else ((" ".join(words), end) for words, end in in_parts(t))
+            for part, end in whole:
+                if parts and n + len(part) > 4 * CHUNK:
                     read()
-                parts.append(self.words.of(words))
+                    n = 0
+                parts.append(part)
                 which.append(i)
-                ends.append(end)
-                n += len(words)
-        read()
+                cut.append(not end)
+                n += len(part)
+        if parts:
+            read()
         return _score(_logits(self.m, top).astype(np.float64), self.m)
 
 

@@ -246,6 +246,37 @@ def test_toxicity_learns_from_long_texts_in_parts(monkeypatch):
     assert np.allclose(top, whole[0], atol=1e-5) and all(np.array_equal(a, b) for a, b in zip(won, whole[1], strict=True))
 
 
+def test_toxicity_hashes_words_together(monkeypatch):
+    """Rows of many words at once are those of each; only very long words are hashed singly."""
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefgäß漢é.,!\"'…\U0001f600\U00010000\x00İ\u0301"))
+    words = ["".join(rng.choice(letters, n)) for n in rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8, 20, 39, 40, 41, 90], 3000)]
+    words += ["", "...", "x" * 40, "漢" * 40, "\U0001f600" * 40, "\U0001f600" * 41, "é" * 6]
+    want = [toxicity.rows_of(w) for w in words]
+    assert toxicity.all_rows_of(words).tolist() == want and toxicity.all_rows_of([]).shape == (0, 4)
+    assert toxicity.all_rows_of([*words, "\ud800a"]).tolist() == [*want, toxicity.rows_of("\ud800a")]
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    assert toxicity.all_rows_of(words).tolist() == want
+    m, single = toxicity._new(rng), []
+    monkeypatch.setattr(toxicity, "rows_of", lambda w, f=toxicity.rows_of: single.append(w) or f(w))
+    texts = [" ".join(f"w{k}x{i}" for k in range(50)) for i in range(20)] + ["y" * 41]
+    toxicity.Reader(m).scores(texts)
+    known = toxicity.Words()
+    assert [known.of(t.split()).tolist() for t in texts] and len(known.rows) == 1002
+    assert single == ["y" * 41] * 2
+
+
+def test_toxicity_words_are_those_of_split():
+    space = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    texts = ["", "a", " a  b ", "\n", "b a b\x00", "".join(f"a{c}" for c in space), *[f"{c}x{c}y{c}" for c in space], *[f"x{chr(c)}y" for c in range(0x3100) if not 0xD800 <= c]]
+    for own in (texts, texts[1:2], [""], [], ["a \ud800 a"]):
+        ids, met = toxicity.numbered(own)
+        met = met if isinstance(met, list) else met.to_pylist()
+        assert [[met[k] for k in i] for i in ids] == [t.split() for t in own]
+        words, again = toxicity.Words(), toxicity.Words()
+        assert [i.tolist() for i in words.of_texts(own)] == [again.of(t.split()).tolist() for t in own] and [*words] == [*again]
+
+
 # --- embeddings
 
 
